@@ -188,7 +188,7 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     best = checked.groupBy("token").agg(F.max(F.struct("w_df", F.struct(-F.col("chain"), "word"))).alias("m"))
     best = materialise(best.select("token", F.col("m.col2.word").alias("word"), (-F.col("m.col2.col1")).alias("chain")), "p9b")
     # words met nowhere clean: their letters are; the letters of a corpus are as bounded as Unicode
-    letters = vocabulary.join(best.select("token"), "token", "left_anti").where("df > 1").select(F.explode(F.array_distinct(F.split("token", ""))).alias("c")).groupBy("c").count().where("count > 1 and c <> ''")
+    letters = vocabulary.join(best.select("token"), "token", "left_anti").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("c")).groupBy("c").agg(F.sum("df").alias("n")).where("n > 1 and c <> ''")
     known = df.sparkSession.sparkContext.broadcast({r.c for r in letters.select("c").collect()})
     rest = vocabulary.join(best.select("token"), "token", "left_anti").select("token", "df")
     return best.unionByName(arrow_map(rest, _spelled(known), "token string, word string, chain int"))

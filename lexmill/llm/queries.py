@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import format_duplicates, leaks, lookalikes, mixing, tokens
+from lexmill.llm import format_duplicates, garbled, languages, leaks, lookalikes, mixing, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda s, d: languages.found(_table(s, d, "transcripts")),
+        "p1_segments": lambda s, d: languages.segments(t := _table(s, d, "transcripts"), languages.train(t)),
+        "p1_documents": lambda s, d: languages.documents(t := _table(s, d, "transcripts"), languages.train(t)),
         "p3_found": lambda s, d: lookalikes.found(_table(s, d, "transcripts")),
         "p3_normalised": lambda s, d: lookalikes.normalise(_table(s, d, "transcripts")),
         "p4_found": lambda s, d: leaks.found(_table(s, d, "transcripts"), _table(s, d, "eval_items")),
@@ -23,7 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_collapsed": lambda s, d: format_duplicates.collapse(_table(s, d, "transcripts")),
         "p7_ids": lambda s, d: tokens.encode(_table(s, d, "documents")),
         "p8_mixture": lambda s, d: mixing.mixture(_table(s, d, "documents"), _table(s, d, "mix_targets")),
+        "p7_decoded": lambda s, d: tokens.decode(tokens.encode(_table(s, d, "documents"))),
         "p8_shares": lambda s, d: mixing.shares(_table(s, d, "documents"), _table(s, d, "mix_targets")),
+        "p9_found": lambda s, d: garbled.found(_table(s, d, "documents")),
+        "p9_restored": lambda s, d: garbled.restored(_table(s, d, "documents")),
     }
 
 
