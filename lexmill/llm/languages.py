@@ -347,6 +347,34 @@ def of_ids(tagger: Tagger, i: np.ndarray, doc: np.ndarray):
     return doc[at[first]], n, best, mean[np.arange(len(best)), best], whole
 
 
+def spoken(tagger: Tagger, texts: list[str]) -> list[dict[int, int]]:
+    """Words by language of each text, told sentence by sentence from the words' scores alone; sentences that fit two
+    languages about as well are left out, and so are fragments of fewer than MIN_WORDS words."""
+    find, lists, sizes = tokens().findall, [], []
+    for t in texts:
+        s = stripped(t)
+        w = find((s if re.search(r"[^\W\d_]{2}", s) else t).lower())
+        w.append("\n")
+        lists.extend(w)
+        sizes.append(len(w))
+    out: list[dict[int, int]] = [{} for _ in texts]
+    i = tagger.ids(lists)
+    is_word = i > STOP
+    at = np.flatnonzero(is_word)
+    if not len(at):
+        return out
+    part = (np.cumsum(~is_word) - (~is_word))[at]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    n = np.diff(np.concatenate([first, [len(at)]]))
+    score = np.add.reduceat(tagger.emission[i[at]], first, axis=0)
+    top = np.partition(score, -2, axis=1)
+    best, doc = score.argmax(axis=1), np.repeat(np.arange(len(texts)), sizes)[at[first]]
+    ok = (top[:, -1] - top[:, -2] > 3) & (n >= MIN_WORDS)
+    for d, c, k in zip(doc[ok].tolist(), best[ok].tolist(), n[ok].tolist()):
+        out[d][c] = out[d].get(c, 0) + k
+    return out
+
+
 def _batches(tagger, batches, slice_rows: int = 1000):
     for b in batches:
         for k in range(0, b.num_rows, slice_rows):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import format_duplicates, garbled, languages, leaks, lookalikes, mixing, tokens
+from lexmill.llm import format_duplicates, garbled, languages, leaks, lookalikes, mixing, pairs, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: languages.found(_table(s, d, "transcripts")),
         "p1_segments": lambda s, d: languages.segments(t := _table(s, d, "transcripts"), languages.train(t)),
         "p1_documents": lambda s, d: languages.documents(t := _table(s, d, "transcripts"), languages.train(t)),
+        "p2_found": lambda s, d: pairs.check(_table(s, d, "transcripts")),
         "p3_found": lambda s, d: lookalikes.found(_table(s, d, "transcripts")),
         "p3_normalised": lambda s, d: lookalikes.normalise(_table(s, d, "transcripts")),
         "p4_found": lambda s, d: leaks.found(_table(s, d, "transcripts"), _table(s, d, "eval_items")),
