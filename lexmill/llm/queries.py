@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import format_duplicates, garbled, languages, leaks, lookalikes, mixing, pairs, tokens
+from lexmill.llm import format_duplicates, garbled, languages, leaks, lookalikes, mixing, pairs, personal, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_normalised": lambda s, d: lookalikes.normalise(_table(s, d, "transcripts")),
         "p4_found": lambda s, d: leaks.found(_table(s, d, "transcripts"), _table(s, d, "eval_items")),
         "p4_overlaps": lambda s, d: leaks.overlaps(_table(s, d, "transcripts"), _table(s, d, "eval_items")),
+        "p5_found": lambda s, d: personal.found(_table(s, d, "transcripts")),
+        "p5_redacted": lambda s, d: personal.redact(t := _table(s, d, "transcripts"), personal.train(t)),
         "p6_found": lambda s, d: format_duplicates.found(_table(s, d, "transcripts")),
         "p6_collapsed": lambda s, d: format_duplicates.collapse(_table(s, d, "transcripts")),
         "p7_ids": lambda s, d: tokens.encode(_table(s, d, "documents")),
