@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import unicodedata
-import zipfile
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.session import ship
+
 
 def ranges(test, stop: int) -> str:
     """A character class (without brackets) of all code points below stop for which test(char) holds."""
@@ -34,26 +33,6 @@ def word_pattern() -> re.Pattern:
     return re.compile(rf"[^\W_]+(?:[{marks}]+[^\W_]*)*")
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, wherever they run; once a session."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="lexmill-ship-"), "lexmill_shipped.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    full = os.path.join(folder, f)
-                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """df.mapInArrow with the package at hand on every executor."""
     ship(df.sparkSession)
