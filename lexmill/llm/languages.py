@@ -270,8 +270,13 @@ def fit(rows: list[tuple[str, str]], seed: int = 5, rounds: int = 40) -> Tagger:
     heads = np.cumsum(lengths) - lengths
     true_s = np.bincount(y[heads], minlength=n)
     gw, gt, gs = np.full_like(w, 1e-2), np.full_like(trans, 1e-2), np.full_like(start, 1e-2)
+    pieces = []  # of the words, so that the driver never holds all features' weights at once
+    for k in range(0, len(words), 2000):
+        f = first[k : k + 2000]
+        pieces.append((int(f[0]), int(first[k + 2000]) if k + 2000 < len(words) else len(cols), f))
     for _ in range(rounds):  # full-batch adaptive gradient
-        scores = np.add.reduceat(w[cols], first, axis=0)[x]
+        per_word = np.concatenate([np.add.reduceat(w[cols[a:b]], f - a, axis=0) for a, b, f in pieces])
+        scores = per_word[x]
         e = np.exp(scores - scores.max(axis=1, keepdims=True))
         post, counts = forward_backward(e, lengths, np.exp(trans), np.exp(start), pairs=True)
         mine = np.stack([np.bincount(x, weights=post[:, c], minlength=len(words)) for c in range(n)], axis=1)
