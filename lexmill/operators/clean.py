@@ -28,7 +28,7 @@ def flags(df: DataFrame) -> DataFrame:
         F.col("raw").rlike(T.CONTROLS).alias("had_controls"), F.col("raw").contains("＜think＞").alias("had_wide_tags"),
         T.ascii_ratio(t).alias("ascii_ratio"), T.asks_translation(t).alias("translation"),
         (T.occurrences(t, T.IM_START) != T.occurrences(t, T.IM_END)).alias("tag_mismatch"), (T.occurrences(t, T.THINK) != T.occurrences(t, T.UNTHINK)).alias("think_mismatch"),
-        ~t.contains(f"{T.IM_START}assistant").alias("no_assistant"), T.empty_assistant(t).alias("empty_assistant"), T.chars(t).alias("chars"),
+        (~t.contains(f"{T.IM_START}assistant")).alias("no_assistant"), T.empty_assistant(t).alias("empty_assistant"), T.chars(t).alias("chars"),
     ).withColumns({
         "malformed": F.col("tag_mismatch") | F.col("think_mismatch") | F.col("no_assistant") | F.col("empty_assistant"),
         "short": F.col("chars") < MIN_CHARS, "long": F.col("chars") > MAX_CHARS, "foreign": F.col("ascii_ratio") < MIN_ASCII,

@@ -18,7 +18,7 @@ from lexmill.functions import vectors as V
 A, C, M = 1664525, 1013904223, 1 << 32
 
 
-def _times(a: Column, b: int) -> Column:
+def _times(a: Column, b: Column) -> Column:
     """a * b mod 2^32 without leaving 64 bits."""
     hi, lo = F.shiftright(a, 16), a.bitwiseAND(0xFFFF)
     return (((hi * b) % 65536) * 65536 + lo * b) % M
@@ -26,13 +26,12 @@ def _times(a: Column, b: int) -> Column:
 
 def lcg_state(k: Column, seed: int) -> Column:
     """The stream's k-th state (k from 1), by binary powers of the step."""
-    s, a, c = F.lit(seed % M).cast("bigint"), A, C
-    for bit in range(33):
-        s = F.when(k.bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0, (_times(s, a) + c) % M).otherwise(s)
+    powers, a, c = [], A, C
+    for bit in range(32):
+        powers.append(F.struct(F.lit(1 << bit).cast("bigint").alias("bit"), F.lit(a).cast("bigint").alias("a"), F.lit(c).cast("bigint").alias("c")))
         a, c = a * a % M, (a * c + c) % M
-        if bit >= 31:
-            break
-    return s
+    start = F.lit(seed % M).cast("bigint")
+    return F.aggregate(F.array(*powers), start, lambda s, p: F.when(k.bitwiseAND(p["bit"]) != 0, (_times(s, p["a"]) + p["c"]) % M).otherwise(s))
 
 
 def lcg(spark: SparkSession, n: int, seed: int) -> DataFrame:

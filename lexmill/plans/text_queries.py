@@ -10,7 +10,6 @@ from lexmill.plans.common import BASE, DOMAINS, EMAIL, NORM, PHONE, UNIT, WS, Re
 
 R = Registry()
 HOST = "quarrypedia.example"
-t = F.col("text")
 
 
 @R.add("src1_scan", "SELECT ord, text, lang_label, contributor FROM transcripts")
@@ -40,72 +39,72 @@ def _(s, d):
 
 @R.add("str1_nfc", "SELECT ord, md5(nfc_normalize(text)) AS digest, CAST(length(nfc_normalize(text)) AS BIGINT) AS chars FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", T.nfc(t).alias("n")).select("ord", F.md5("n").alias("digest"), T.chars(F.col("n")).alias("chars"))
+    return texts(s, d).select("ord", T.nfc(F.col("text")).alias("n")).select("ord", F.md5("n").alias("digest"), T.chars(F.col("n")).alias("chars"))
 
 
 @R.add("str2_nfkc")
 def _(s, d):
-    return texts(s, d).select("ord", T.nfkc(t).alias("text"))
+    return texts(s, d).select("ord", T.nfkc(F.col("text")).alias("text"))
 
 
 @R.add("str3_replace", "SELECT ord, md5(replace(replace(replace(text,'＜think＞','<think>'),'＜/think＞','</think>'),chr(160),' ')) AS digest FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", F.md5(F.replace(T.fix_tags(t), F.lit(" "), F.lit(" "))).alias("digest"))
+    return texts(s, d).select("ord", F.md5(F.replace(T.fix_tags(F.col("text")), F.lit(" "), F.lit(" "))).alias("digest"))
 
 
 @R.add("str4_controls", r"SELECT ord, md5(regexp_replace(text,'[\x00-\x08\x0b\x0c\x0e-\x1f]','','g')) AS digest FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", F.md5(T.strip_controls(t)).alias("digest"))
+    return texts(s, d).select("ord", F.md5(T.strip_controls(F.col("text"))).alias("digest"))
 
 
 @R.add("str5_normalise", f"SELECT ord, md5({NORM}) AS digest FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", F.md5(T.normalise(t)).alias("digest"))
+    return texts(s, d).select("ord", F.md5(T.normalise(F.col("text"))).alias("digest"))
 
 
 @R.add("str6_str7_contains", r"SELECT ord, regexp_matches(text,'[\x00-\x08\x0b\x0c\x0e-\x1f]') AS controls, contains(text,'＜think＞') AS wide, contains(text,'<|im_start|>assistant') AS assistant FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", t.rlike(T.CONTROLS).alias("controls"), t.contains("＜think＞").alias("wide"), t.contains("<|im_start|>assistant").alias("assistant"))
+    return texts(s, d).select("ord", F.col("text").rlike(T.CONTROLS).alias("controls"), F.col("text").contains("＜think＞").alias("wide"), F.col("text").contains("<|im_start|>assistant").alias("assistant"))
 
 
 @R.add("str8_ascii_ratio", r"SELECT ord, round(length(regexp_replace(text,'[^\x00-\x7F]','','g'))/greatest(length(text),1),6) AS ratio FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", F.round(T.ascii_ratio(t), 6).alias("ratio"))
+    return texts(s, d).select("ord", F.round(T.ascii_ratio(F.col("text")), 6).alias("ratio"))
 
 
 @R.add("str9_translation", r"SELECT ord, regexp_matches(text,'(?i)(^|[^\p{L}\p{N}_])translat(e|ion)($|[^\p{L}\p{N}_])') AS asks FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", T.asks_translation(t).alias("asks"))
+    return texts(s, d).select("ord", T.asks_translation(F.col("text")).alias("asks"))
 
 
 @R.add("str10_occurrences", f"SELECT ord, {count_sql('<|im_start|>')} AS starts, {count_sql('<|im_end|>')} AS ends, {count_sql('<think>')} AS thinks, {count_sql('</think>')} AS unthinks FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", *[T.occurrences(t, m).alias(n) for m, n in ((T.IM_START, "starts"), (T.IM_END, "ends"), (T.THINK, "thinks"), (T.UNTHINK, "unthinks"))])
+    return texts(s, d).select("ord", *[T.occurrences(F.col("text"), m).alias(n) for m, n in ((T.IM_START, "starts"), (T.IM_END, "ends"), (T.THINK, "thinks"), (T.UNTHINK, "unthinks"))])
 
 
 @R.add("str11_empty_assistant", rf"SELECT ord FROM transcripts WHERE text IS NOT NULL AND regexp_matches(text,'<\|im_start\|>assistant{WS}*<\|im_end\|>')")
 def _(s, d):
-    return texts(s, d).where(T.empty_assistant(t)).select("ord")
+    return texts(s, d).where(T.empty_assistant(F.col("text"))).select("ord")
 
 
 @R.add("str12_length", "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, length(text)=n_chars AS agrees FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", T.chars(t).alias("chars"), (T.chars(t) == F.col("n_chars")).alias("agrees"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.chars(F.col("text")).alias("chars"), (T.chars(F.col("text")) == F.col("n_chars")).alias("agrees"))
 
 
 @R.add("str13_space_key", f"SELECT ord, md5(regexp_replace(text,'{WS}+',' ','g')) AS digest FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", F.md5(T.collapse_space(t)).alias("digest"))
+    return texts(s, d).select("ord", F.md5(T.collapse_space(F.col("text"))).alias("digest"))
 
 
 @R.add("str14_emails", f"SELECT ord, len(regexp_extract_all(text,'{EMAIL}')) AS n, array_to_string(regexp_extract_all(text,'{EMAIL}'),' ') AS found FROM transcripts WHERE text IS NOT NULL AND regexp_matches(text,'{EMAIL}')")
 def _(s, d):
-    return texts(s, d).select("ord", T.emails(t).alias("e")).where("size(e) > 0").select("ord", F.size("e").cast("bigint").alias("n"), F.array_join("e", " ").alias("found"))
+    return texts(s, d).select("ord", T.emails(F.col("text")).alias("e")).where("size(e) > 0").select("ord", F.size("e").cast("bigint").alias("n"), F.array_join("e", " ").alias("found"))
 
 
 @R.add("str15_phones", f"SELECT ord, array_to_string(regexp_extract_all(text,'{PHONE}',1),' ') AS found FROM transcripts WHERE text IS NOT NULL AND regexp_matches(text,'{PHONE}')")
 def _(s, d):
-    return texts(s, d).select("ord", T.phones(t).alias("p")).where("size(p) > 0").select("ord", F.array_join("p", " ").alias("found"))
+    return texts(s, d).select("ord", T.phones(F.col("text")).alias("p")).where("size(p) > 0").select("ord", F.array_join("p", " ").alias("found"))
 
 
 REAL = rf"""len(list_filter(regexp_extract_all(text,'{EMAIL}'), lambda e: NOT (contains(lower(e),'example') OR split_part(lower(e),'@',-1) IN {DOMAINS})
@@ -114,12 +113,12 @@ REAL = rf"""len(list_filter(regexp_extract_all(text,'{EMAIL}'), lambda e: NOT (c
 
 @R.add("str16_str17_real_email", f"SELECT ord, {REAL} AS is_real FROM transcripts WHERE text IS NOT NULL AND regexp_matches(text,'{EMAIL}')")
 def _(s, d):
-    return texts(s, d).select("ord", T.emails(t).alias("e")).where("size(e) > 0").select("ord", T.real_email(F.col("e")).alias("is_real"))
+    return texts(s, d).select("ord", T.emails(F.col("text")).alias("e")).where("size(e) > 0").select("ord", T.real_email(F.col("e")).alias("is_real"))
 
 
 @R.add("str18_str19_templates", r"SELECT item_id, regexp_matches(text,'(?i)Premise:[^\n]*hypothesis') AS inference, contains(text,'Available choices:') AS choice, contains(text,'Options:') AS options FROM eval_items WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "eval_items").where("text is not null").select("item_id", T.inference_template(t).alias("inference"), T.choice_template(t).alias("choice"), t.contains("Options:").alias("options"))
+    return table(s, d, "eval_items").where("text is not null").select("item_id", T.inference_template(F.col("text")).alias("inference"), T.choice_template(F.col("text")).alias("choice"), F.col("text").contains("Options:").alias("options"))
 
 
 SYSTEM = r"(?s)<\|im_start\|>system\n(.*?)<\|im_end\|>"
@@ -127,12 +126,12 @@ SYSTEM = r"(?s)<\|im_start\|>system\n(.*?)<\|im_end\|>"
 
 @R.add("str20_system_prompt", f"SELECT ord, regexp_extract(text,'{SYSTEM}',1) AS prompt FROM transcripts WHERE text IS NOT NULL AND regexp_matches(text,'{SYSTEM}')")
 def _(s, d):
-    return texts(s, d).select("ord", T.system_prompt(t).alias("prompt")).where("prompt is not null")
+    return texts(s, d).select("ord", T.system_prompt(F.col("text")).alias("prompt")).where("prompt is not null")
 
 
 @R.add("str21_starts_with", "SELECT ord, NOT starts_with(text,'<|im_start|>system') AS no_system FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    return texts(s, d).select("ord", (~t.startswith("<|im_start|>system")).alias("no_system"))
+    return texts(s, d).select("ord", (~F.col("text").startswith("<|im_start|>system")).alias("no_system"))
 
 
 @R.add("str22_agg10_ordered_hash", "SELECT substring(sha256(string_agg(text,'' ORDER BY lang||variant)),1,16) AS content_hash FROM corpus")
@@ -142,12 +141,12 @@ def _(s, d):
 
 @R.add("str23_units", f"SELECT doc_id, CAST(len(regexp_extract_all(text,'{UNIT}')) AS BIGINT) AS units FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", T.units(t).alias("units"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", T.units(F.col("text")).alias("units"))
 
 
 @R.add("str24_visible", f"SELECT doc_id, md5(regexp_replace(text,'{WS}','','g')) AS digest FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.visible(t)).alias("digest"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.visible(F.col("text"))).alias("digest"))
 
 
 MARKDOWN = rf"regexp_replace(regexp_replace(regexp_replace(replace(text,chr(160),' '),'\n{{4,}}',chr(10)||chr(10)||chr(10),'g'),'[ \t]+\n',chr(10),'g'),'^{WS}+|{WS}+$','','g')||chr(10)"
@@ -155,12 +154,12 @@ MARKDOWN = rf"regexp_replace(regexp_replace(regexp_replace(replace(text,chr(160)
 
 @R.add("str25_markdown", f"SELECT doc_id, md5({MARKDOWN}) AS digest FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.markdown_normalise(t)).alias("digest"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.markdown_normalise(F.col("text"))).alias("digest"))
 
 
 @R.add("str26_others_to_space", r"SELECT doc_id, md5(regexp_replace(text,'[^\p{L}\p{M}\p{N}]+',' ','g')) AS digest FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.others_to_space(t)).alias("digest"))
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.md5(T.others_to_space(F.col("text"))).alias("digest"))
 
 
 #: A page around each title, with every kind of link and noise; the same text on both sides.
@@ -256,7 +255,7 @@ def _(s, d):
 
 @R.add("win2_keep_first_spaced", f"SELECT ord FROM transcripts WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY regexp_replace(text,'{WS}+',' ','g') ORDER BY ord)=1")
 def _(s, d):
-    return clean.keep_first(texts(s, d), T.collapse_space(t)).select("ord")
+    return clean.keep_first(texts(s, d), T.collapse_space(F.col("text"))).select("ord")
 
 
 @R.add("jn2_anti_duplicates", "SELECT ord FROM transcripts WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY ord)>1")
@@ -300,7 +299,7 @@ def _(s, d):
 
 @R.add("agg4_agg5_duplicates", f"SELECT count(*)-count(DISTINCT text) AS exact, greatest(count(*)-count(DISTINCT regexp_replace(text,'{WS}+',' ','g'))-(count(*)-count(DISTINCT text)),0) AS extra FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    e = texts(s, d).select(F.xxhash64("text").alias("a"), F.md5("text").alias("a2"), F.md5(T.collapse_space(t)).alias("b"))
+    e = texts(s, d).select(F.xxhash64("text").alias("a"), F.md5("text").alias("a2"), F.md5(T.collapse_space(F.col("text"))).alias("b"))
     got = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a2").alias("da"), F.count_distinct("b").alias("db"))
     exact = F.col("n") - F.col("da")
     return got.select(exact.alias("exact"), F.greatest(F.col("n") - F.col("db") - exact, F.lit(0)).alias("extra"))
