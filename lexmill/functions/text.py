@@ -33,6 +33,12 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def pinned(c: Column) -> Column:
+    """c, computed once: a value the optimiser must take for changing is neither copied into each later expression nor
+    computed again below a filter."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition. Texts below U+0300 are composed already and never leave the JVM."""
     return F.when(c.rlike(r"[^\x00-\x{2ff}]"), _nfc(F.when(c.rlike(r"[^\x00-\x{2ff}]"), c))).otherwise(c)

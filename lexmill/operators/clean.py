@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexmill.functions import text as T
 
@@ -21,7 +20,7 @@ def scan(df: DataFrame, id_col: str = "ord", text_col: str = "text") -> DataFram
 
 def flags(df: DataFrame) -> DataFrame:
     """Normalised text with every stage's flag beside it."""
-    d = df.select("ord", F.col("text").alias("raw"), T.normalise(F.col("text")).alias("text"))
+    d = df.select("ord", F.col("text").alias("raw"), T.pinned(T.normalise(F.col("text"))).alias("text"))
     t = F.col("text")
     return d.select(
         "ord", "text",
@@ -40,10 +39,14 @@ def keep_quality(flagged: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """The row of the smallest ord of each equal text. Partitions by digest; a group limit runs before the shuffle, so
-    a text repeated a third of the time leaves one row a task."""
-    w = Window.partitionBy(F.sha2(key if key is not None else F.col("text"), 256)).orderBy("ord")
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """The row of the smallest ord of each equal text; ord is unique.
+
+    Only digests are shuffled: groups of more than one row are found with partial aggregation, and the texts meet that
+    smaller table, which AQE broadcasts where its measured size allows and otherwise joins with skew handling.
+    """
+    keyed = df.withColumn("_digest", T.pinned(F.unhex(F.sha2(key if key is not None else F.col("text"), 256))))
+    again = keyed.groupBy("_digest").agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return keyed.join(again, "_digest", "left").where("_first is null or _first = ord").select(*df.columns)
 
 
 def survivor_flags(df: DataFrame) -> DataFrame:
@@ -82,23 +85,23 @@ def ordered_hash(df: DataFrame, order: str = "ord", text: str = "text") -> DataF
 def manifest(df: DataFrame) -> DataFrame:
     """One row with every stage's counts: waterfall drops, non-exclusive mismatches, duplicates, flags, lengths."""
     flagged = flags(df)
+    sound = ~F.col("malformed") & ~F.col("short") & ~F.col("long")
     before = flagged.agg(
         F.count(F.lit(1)).alias("raw_count"), count_if("had_controls").alias("control_rows"), count_if("had_wide_tags").alias("wide_tag_rows"),
         count_if("foreign").alias("foreign_rows"), F.count_if(F.col("foreign") & F.col("translation")).alias("foreign_translation_rows"),
         count_if("tag_mismatch").alias("tag_mismatch_rows"), count_if("think_mismatch").alias("think_mismatch_rows"), F.count_if(F.col("no_assistant") | F.col("empty_assistant")).alias("empty_assistant_rows"),
         count_if("malformed").alias("malformed_dropped"), F.count_if(F.col("short") & ~F.col("malformed")).alias("short_dropped"),
         F.count_if(F.col("long") & ~F.col("malformed") & ~F.col("short")).alias("long_dropped"),
-        F.count_if(~F.col("malformed") & ~F.col("short") & ~F.col("long")).alias("rows_before_dedup"),
+        F.count_if(sound).alias("rows_before_dedup"), F.count_distinct(F.when(sound, F.unhex(F.sha2(T.collapse_space(F.col("text")), 256)))).alias("distinct_spaced"),
     )
     good = keep_quality(flagged)
-    spaced = good.select(F.sha2(T.collapse_space(F.col("text")), 256).alias("k")).distinct().agg(F.count(F.lit(1)).alias("distinct_spaced"))
     final = survivor_flags(keep_first(good))
     after = final.agg(
         F.count(F.lit(1)).alias("final_count"), count_if("email").alias("email_rows"), count_if("phone").alias("phone_rows"), count_if("real_email").alias("real_email_rows"),
         count_if("inference").alias("inference_rows"), count_if("choice").alias("choice_rows"), F.round(F.avg("chars"), 1).alias("mean_chars"), F.median("chars").cast("bigint").alias("median_chars"),
         F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"), count_if("no_system").alias("no_system_rows"),
     )
-    one = before.crossJoin(F.broadcast(spaced)).crossJoin(F.broadcast(after))  # each side is one row
+    one = before.crossJoin(F.broadcast(after))  # each side is one row
     exact = F.col("rows_before_dedup") - F.col("final_count")
     return one.withColumn("exact_duplicates", exact).withColumn("extra_spaced_duplicates", F.greatest(F.col("rows_before_dedup") - F.col("distinct_spaced") - exact, F.lit(0))).withColumn(
         "retention_pct", F.round(F.try_divide(100.0 * F.col("final_count"), F.col("raw_count")), 2)
