@@ -26,8 +26,9 @@ LINE = r"[^\p{L}\p{N}\n]*([\p{L}\p{N}_][^:\n]{0,60}):[ \t]*(\S[^\n]*)"
 
 
 def canonical(value: Column) -> Column:
-    """Case folded, each run of punctuation and white space one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(value)), BETWEEN, " "))
+    """Case folded, each run of punctuation and white space one space, trimmed. (lower directly around upper would be
+    simplified to lower, which keeps letters that fold to two.)"""
+    return F.trim(F.lower(F.regexp_replace(F.upper(value), BETWEEN, " ")))
 
 
 def _turn_values(body: Column) -> Column:
