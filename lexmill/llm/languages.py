@@ -33,6 +33,8 @@ NOTHING = {"", "und", "xx", "n/a", "na", "unknown", "none", "null", "mul", "zxx"
 #: Rows of each language, at most about, that training sees; and sentences of each.
 SAMPLE_ROWS, SAMPLE_SENTENCES = 500, 1500
 MIN_WORDS = 3
+#: A sentence of less confidence counts only where its text has no better one.
+SURE = 0.6
 
 MARKUP = re.compile(
     r"<\|im_start\|>\s*system[ \t\r]*\n.*?(?:<\|im_end\|>|\Z)|<\|im_start\|>[ \t]*\w*|<\|im_end\|>|```.*?(?:```|(?=<\|im_end\|>)|\Z)|(?m:^[ \t>]*\|.*$)|</?think>|`[^`\n]*`|https?://\S+|\{[^{}]*\}",
@@ -47,7 +49,7 @@ def tokens() -> re.Pattern:
     import unicodedata
 
     marks = ranges(lambda c: unicodedata.category(c)[0] == "M", 0x10000)
-    return re.compile(rf"[㐀-鿿]|[^\W\d_]+(?:[{marks}­​-‍⁠]+[^\W\d_]*)*|\n|[।॥。！？．]|[.!?…]+(?=[\s\"”’»)<*]|$)")
+    return re.compile(rf"[㐀-鿿]|[^\W\d_]+(?:[{marks}­​-‍⁠]+[^\W\d_]*)*|\n|[।॥。！？．]|(?<!\W[^\W\d_])[.!?…]+(?=[\s\"”’»)<*]|$)")
 
 
 def code_of(label: str | None) -> str | None:
@@ -430,7 +432,10 @@ def found(df: DataFrame, tagger: Tagger | None = None, id_col: str = "ord", text
 
     def run(batches):
         for part, (doc, n, lang, conf, whole) in _batches(shared, batches):
-            ok = whole & (n >= MIN_WORDS) & (conf > 0.6)
+            ok = whole & (n >= MIN_WORDS)
+            best = np.zeros(part.num_rows, conf.dtype)
+            np.maximum.at(best, doc[ok], conf[ok])
+            ok &= (conf > SURE) | (conf == best[doc])
             both = np.unique(np.stack([doc[ok], lang[ok]], axis=1), axis=0)
             many = np.bincount(both[:, 0], minlength=part.num_rows) > 1
             said = np.array([INDEX.get(code_of(x), -1) for x in part.column(2).to_pylist()])
