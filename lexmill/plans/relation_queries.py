@@ -12,7 +12,7 @@ from lexmill.streaming import cleaning
 R = Registry()
 
 
-@R.add("agg1_agg2_counts", "SELECT count(*) AS n, count_if(lang_label IS NULL) AS unlabelled, count_if(text IS NULL) AS without_text, count(DISTINCT contributor) AS contributors FROM transcripts")
+@R.add("agg1_agg2_counts", "SELECT count(*) AS n, CAST(count_if(lang_label IS NULL) AS BIGINT) AS unlabelled, CAST(count_if(text IS NULL) AS BIGINT) AS without_text, count(DISTINCT contributor) AS contributors FROM transcripts")
 def _(s, d):
     return table(s, d, "transcripts").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang_label").isNull()).alias("unlabelled"), F.count_if(F.col("text").isNull()).alias("without_text"), F.count_distinct("contributor").alias("contributors"))
 

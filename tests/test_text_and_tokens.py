@@ -97,3 +97,10 @@ def test_nfc_guard(spark):
     assert one(spark, "é क़", T.nfc) == unicodedata.normalize("NFC", "é क़")
     assert one(spark, None, T.nfc) is None
     assert one(spark, "plain é", T.nfc) == "plain é"
+
+
+def test_stable_ranges_are_stable():
+    seconds = {chr(int(d.split()[-1], 16)) for o in range(0x110000) if (d := unicodedata.decomposition(chr(o))) and d[0] != "<" and len(d.split()) == 2}
+    for a, b in T.STABLE:
+        for c in map(chr, range(a, b + 1)):
+            assert unicodedata.is_normalized("NFC", c) and c not in seconds and unicodedata.combining(c) in (0, 9), hex(ord(c))
