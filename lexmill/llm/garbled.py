@@ -36,7 +36,7 @@ CHAINS = (
 )
 STRUCTURAL = frozenset(k for k, (w, r, _, e) in enumerate(CHAINS) if e == "replace" or w == "utf-8" and r not in CHINESE)
 PAIRS = frozenset(k for k, (w, r, _, e) in enumerate(CHAINS) if w in CHINESE and e == "strict")
-TOKEN = r"[^\x00-/:-@\[-`{-\x7f]*[^\x00-\x7f][^\x00-/:-@\[-`{-\x7f]*"
+TOKEN = r"(?<![0-9A-Za-z])[0-9A-Za-z]*+[^\x00-\x7f][^\x00-/:-@\[-`{-\x7f]*"
 RUN = r"[^\x00-\x7f]+"
 LATIN_RUN = r"[\x{80}-\x{17f}\x{2018}-\x{2122}\x{2c6}\x{2dc}]{6,}"
 
@@ -173,9 +173,10 @@ def doc_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("_id", F.explode(F.array_distinct(F.concat(tokens, runs, han, pairs))).alias("token"))
 
 
-def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(token, word, chain): garbled tokens of the corpus with their clean word, the most frequent one."""
-    vocabulary = materialise(doc_tokens(df, id_col, text_col).groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("h", F.xxhash64("token")), "p9")
+def matches(tokens: DataFrame) -> DataFrame:
+    """(token, word, chain) from (_id, token): garbled tokens of the corpus with their clean word, the most frequent
+    one."""
+    vocabulary = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("h", F.xxhash64("token")), "p9")
     forms = arrow_map(vocabulary.select("token", "df"), _forms, "hg long, chain int, w_df long, hw long, w_len int")
     joined = forms.join(vocabulary.select("token", "df", F.col("h").alias("hg")), "hg")
     # a chain that keeps to one byte a letter may turn one word into another: the rarer is the garbled one
@@ -189,7 +190,7 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     best = materialise(best.select("token", F.col("m.col2.word").alias("word"), (-F.col("m.col2.col1")).alias("chain")), "p9b")
     # words met nowhere clean: their letters are; the letters of a corpus are as bounded as Unicode
     letters = vocabulary.join(best.select("token"), "token", "left_anti").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("c")).groupBy("c").agg(F.sum("df").alias("n")).where("n > 1 and c <> ''")
-    known = df.sparkSession.sparkContext.broadcast({r.c for r in letters.select("c").collect()})
+    known = tokens.sparkSession.sparkContext.broadcast({r.c for r in letters.select("c").collect()})
     rest = vocabulary.join(best.select("token"), "token", "left_anti").select("token", "df")
     return best.unionByName(arrow_map(rest, _spelled(known), "token string, word string, chain int"))
 
@@ -220,8 +221,8 @@ def hits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Pairs of Latin letters count only where a document has three that are Chinese characters, and words garbled
     byte by byte only where it has two of them or the word mixes alphabets.
     """
-    m = materialise(matches(df, id_col, text_col), "p9m")
-    got = doc_tokens(df, id_col, text_col).join(m, "token")
+    tokens = materialise(doc_tokens(df, id_col, text_col), "p9t")
+    got = materialise(tokens.join(materialise(matches(tokens), "p9m"), "token"), "p9h")
     got = got.withColumn("kind", F.when(F.col("chain").isin(*sorted(STRUCTURAL)), 0).when(F.col("chain").isin(*sorted(PAIRS)), 1).otherwise(2))
     enough = got.groupBy("_id").agg(F.count_if(F.col("kind") == 0).alias("n0"), F.count_if(F.col("kind") == 1).alias("n1"), F.count_if(F.col("kind") == 2).alias("n2"))
     ok = enough.where("n0 > 0 or n1 >= 3 or n2 >= 2").select("_id")
