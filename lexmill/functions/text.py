@@ -49,13 +49,14 @@ UNSTABLE = "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in STABLE) + "]"
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition. Texts of stable ranges only are composed already and never leave the JVM."""
-    unstable = c.rlike(UNSTABLE)
-    return F.when(unstable, _nfc(F.when(unstable, c))).otherwise(c)
+    """Canonical composition. Texts of stable ranges only are composed already and never leave the JVM; what the wide
+    first range has is taken away before the rest is looked at."""
+    rest = F.regexp_replace(c, r"[\x00-\x{2ff}]+", "")
+    return F.coalesce(_nfc(F.when(rest.rlike(UNSTABLE), c)), c)
 
 
 def nfkc(c: Column) -> Column:
-    return F.when(c.rlike(r"[^\x00-\x7f]"), _nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c))).otherwise(c)
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
 
 
 def fix_tags(c: Column) -> Column:

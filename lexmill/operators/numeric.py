@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -336,13 +337,38 @@ def principal_two(vectors: DataFrame, id_col: str, col: str = "embedding", most_
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 2, id_col: str = "vec_id", col: str = "embedding", most_queries: int = 20_000) -> DataFrame:
-    """(id, neighbour, rank, similarity): the k most alike other vectors of each query. Queries are a stated, bounded
-    set; each partition of the vectors keeps its k best per query before anything is shuffled."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
+    """(id, neighbour, rank, similarity): the k most alike other vectors of each query, by cosine. Queries are a stated,
+    bounded set; each batch of vectors keeps its k best a query, so only those are shuffled. Null vectors have none."""
+    rows = queries.select(F.col(id_col).cast("long"), F.col(col).cast("array<double>")).limit(most_queries + 1).collect()
+    if len(rows) > most_queries:
         raise ValueError("more queries than most_queries; take them in blocks")
-    q = queries.select(F.col(id_col).alias("q"), F.col(col).alias("qv"))
-    d = vectors.select(F.col(id_col).alias("v"), F.col(col).alias("vv")).crossJoin(F.broadcast(q)).where("v <> q")
-    scored = d.select("q", "v", V.cosine(F.col("qv"), F.col("vv")).alias("similarity"))
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1.0, n)
+    ids = np.array([r[0] for r in rows], np.int64)
+    shared = queries.sparkSession.sparkContext.broadcast((ids, unit(np.array([r[1] for r in rows])) if rows else None))
+
+    def run(batches):
+        q, units = shared.value
+        for b in batches:
+            v = np.asarray(b.column(0))
+            if not len(v) or units is None:
+                continue
+            m = unit(np.asarray(b.column(1).flatten()).reshape(len(v), -1))
+            for at in range(0, len(q), 512):  # a block of queries at a time bounds the matrix of similarities
+                s = units[at : at + 512] @ m.T
+                s[q[at : at + 512, None] == v[None, :]] = -np.inf
+                for r in range(len(s)):
+                    best = np.lexsort((v, -s[r]))[:k] if len(v) <= 4 * k else _top(s[r], v, k)
+                    best = best[s[r][best] > -np.inf]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q[at + r])), pa.array(v[best]), pa.array(s[r][best])], names=["q", "v", "similarity"])
+
+    narrow = vectors.select(F.col(id_col).cast("long").alias("v"), F.col(col).cast("array<double>").alias("x")).where("x is not null")
+    best = narrow.mapInArrow(run, "q long, v long, similarity double")
     w = Window.partitionBy("q").orderBy(F.desc("similarity"), "v")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(id_col), F.col("v").alias("neighbour"), "rank", "similarity")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(id_col), F.col("v").alias("neighbour"), "rank", "similarity")
+
+
+def _top(s: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest values, ties by the smaller id."""
+    least = np.partition(s, len(s) - k)[len(s) - k]
+    at = np.flatnonzero(s >= least)
+    return at[np.lexsort((v[at], -s[at]))[:k]]

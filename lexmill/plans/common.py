@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.operators import clean
+from lexmill.session import read_spread
+
+#: Tables of long texts, with their key.
+KEYS = {"transcripts": "ord", "documents": "doc_id"}
 
 #: White space for RE2.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -37,7 +41,8 @@ kept AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY text ORDER B
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return read_spread(spark, path, KEYS[name]) if name in KEYS else spark.read.parquet(path)
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

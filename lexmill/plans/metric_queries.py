@@ -209,7 +209,7 @@ Q20 = "SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHER
 @R.add("n10_jn7_win3_neighbours", f"SELECT q AS vec_id, v AS neighbour, CAST(k AS INT) AS rank, round(sim,5) AS similarity FROM (SELECT q, vec_id AS v, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS sim, row_number() OVER (PARTITION BY q ORDER BY list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) DESC, vec_id) AS k FROM ({Q20}), embeddings WHERE vec_id<>q) WHERE k<=2")
 def _(s, d):
     e = table(s, d, "embeddings").select("vec_id", "embedding")
-    return numeric.neighbours(e.where("vec_id % 20 = 0"), e).withColumn("similarity", F.round("similarity", 5))
+    return numeric.neighbours(e.where("vec_id % 20 = 0 and embedding is not null"), e).withColumn("similarity", F.round("similarity", 5))
 
 
 @R.add("agg20_covariance", "SELECT i, j, round(covar_samp(x,y),4)+0.0 AS cov FROM (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) a JOIN (SELECT vec_id, CAST(unnest(range(len(embedding))) AS INT) AS j, CAST(unnest(embedding) AS DOUBLE) AS y FROM embeddings) b USING (vec_id) GROUP BY i, j")

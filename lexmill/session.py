@@ -44,6 +44,18 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_spread(spark: SparkSession, path: str, key: str, least_mb: float = 2.0) -> DataFrame:
+    """A Parquet table; one of fewer files than there are cores is spread by key over them, as a file of one row group
+    keeps all but one core idle. A table of many files is read as it lies."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if len(df._jdf.inputFiles()) >= cores:  # counted in the JVM: a large table has many
+        return df
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.repartition(cores, key) if size > least_mb * 1e6 else df
+
+
 _SHIPPED: set[str] = set()
 
 
