@@ -304,10 +304,25 @@ def toy_embeddings(spark: SparkSession) -> DataFrame:
 
 
 def covariance(vectors: DataFrame, col: str = "embedding") -> DataFrame:
-    """(i, j, cov): sample covariance of every two places. Sums of products per place pair are built array-wise and
-    aggregated, so no row is exploded into pairs of rows before the partial sums."""
-    d = vectors.select(F.posexplode(col).alias("i", "x"), F.col(col).alias("v")).select("i", F.col("x").cast("double").alias("x"), F.posexplode("v").alias("j", "y"))
-    return d.groupBy("i", "j").agg(F.covar_samp("x", F.col("y").cast("double")).alias("cov"))
+    """(i, j, cov): sample covariance of every two places; null of fewer than two vectors. Each task sums its vectors'
+    products into one small matrix, so what is shuffled does not grow with the rows. Null vectors are left out."""
+
+    def run(batches):
+        n, sums, products = 0, None, None
+        for b in batches:
+            if b.num_rows:
+                m = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
+                n += len(m)
+                sums = m.sum(axis=0) if sums is None else sums + m.sum(axis=0)
+                products = m.T @ m if products is None else products + m.T @ m
+        if n:
+            d = len(sums)
+            i, j = np.repeat(np.arange(d, dtype=np.int32), d), np.tile(np.arange(d, dtype=np.int32), d)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(np.full(d * d, n)), pa.array(sums[i]), pa.array(sums[j]), pa.array(products.ravel())], names=["i", "j", "n", "x", "y", "xy"])
+
+    parts = vectors.select(F.col(col).cast("array<double>").alias("v")).where("v is not null").mapInArrow(run, "i int, j int, n long, x double, y double, xy double")
+    total = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xy")])
+    return total.select("i", "j", F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("n") - 1).alias("cov"))
 
 
 def principal_two(vectors: DataFrame, id_col: str, col: str = "embedding", most_places: int = 4096) -> DataFrame:

@@ -239,3 +239,35 @@ def _(s, d):
     rows = F.array(F.transform(e, lambda x, k: k.cast("double")), F.transform(e, lambda x: F.lit(1.0)))
     got = V.mat_vec(rows, e)
     return table(s, d, "embeddings").select("vec_id", F.round(got[0], 4).alias("first"), F.round(got[1], 4).alias("second"))
+
+
+@R.add("snk9_report", "SELECT printf('%-10s%9d%10d%11.4f', lang, tokens, units, ratio) AS line FROM (SELECT lang, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(wordish_units) AS BIGINT) AS units, sum(tokens)/sum(wordish_units) AS ratio FROM sweep_metrics GROUP BY lang)")
+def _(s, d):
+    r = metrics.fertility(table(s, d, "sweep_metrics")).orderBy("ratio")
+    return r.select(F.format_string("%-10s%9d%10d%11.4f", "lang", "tokens", "wordish_units", "ratio").alias("line"))
+
+
+@R.add("agg12_unknown", "SELECT variant, CAST(sum(unk) AS BIGINT) AS unk, CAST(count_if(unk>0) AS BIGINT) AS rows_with FROM sweep_metrics GROUP BY variant")
+def _(s, d):
+    return table(s, d, "sweep_metrics").groupBy("variant").agg(F.sum("unk").alias("unk"), F.count_if(F.col("unk") > 0).alias("rows_with"))
+
+
+@R.add("snk5_metrics_json", "SELECT lang, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(wordish_units) AS BIGINT) AS wordish_units FROM sweep_metrics GROUP BY lang")
+def _(s, d):
+    packed = metrics.fertility(table(s, d, "sweep_metrics")).select(F.to_json(F.struct("lang", "tokens", "wordish_units")).alias("j"))
+    return packed.select(F.from_json("j", "lang string, tokens bigint, wordish_units bigint").alias("x")).select("x.*")
+
+
+BYTE_SQL = "SELECT DISTINCT c AS token, array_to_string(list_transform(regexp_extract_all(hex(encode(c)),'..'), lambda h: '<0x'||h||'>'),'') AS fallback FROM (SELECT unnest(string_split(sample,'')) AS c FROM gate_samples) WHERE c<>''"
+
+
+@R.add("t7_byte_fallback", BYTE_SQL)
+def _(s, d):
+    cs = table(s, d, "gate_samples").select(F.explode(F.split("sample", "")).alias("token")).where("token <> ''").distinct()
+    pairs = F.regexp_extract_all(F.hex(F.encode("token", "UTF-8")), F.lit(".."), F.lit(0))
+    return cs.select("token", F.array_join(F.transform(pairs, lambda h: F.concat(F.lit("<0x"), h, F.lit(">"))), "").alias("fallback"))
+
+
+@R.add("t10_byte_flags", "SELECT CAST(i AS INT) AS id, '<0x'||lpad(upper(to_hex(i)),2,'0')||'>' AS token, true AS is_byte FROM range(256) r(i)")
+def _(s, d):
+    return bpe.vocabulary(s, bpe.Encoder(bpe.BYTES, []))

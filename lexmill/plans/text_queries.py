@@ -299,7 +299,7 @@ def _(s, d):
 
 @R.add("agg4_agg5_duplicates", f"SELECT count(*)-count(DISTINCT text) AS exact, greatest(count(*)-count(DISTINCT regexp_replace(text,'{WS}+',' ','g'))-(count(*)-count(DISTINCT text)),0) AS extra FROM transcripts WHERE text IS NOT NULL")
 def _(s, d):
-    e = texts(s, d).select(F.xxhash64("text").alias("a"), F.md5("text").alias("a2"), F.md5(T.collapse_space(F.col("text"))).alias("b"))
+    e = texts(s, d).select(F.md5("text").alias("a2"), F.md5(T.collapse_space(F.col("text"))).alias("b"))
     got = e.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("a2").alias("da"), F.count_distinct("b").alias("db"))
     exact = F.col("n") - F.col("da")
     return got.select(exact.alias("exact"), F.greatest(F.col("n") - F.col("db") - exact, F.lit(0)).alias("extra"))
@@ -315,3 +315,11 @@ def _(s, d):
     rows = table(s, d, "corpus_meta")
     packed = rows.select(F.to_json(F.struct("lang", "chars", "title")).alias("j"))
     return packed.select(F.from_json("j", "lang string, chars bigint, title string").alias("x")).select("x.*")
+
+
+@R.add("jn4_placeholder_domains", f"SELECT ord, split_part(lower(e),'@',-1) IN {DOMAINS} AS placeholder, count(*) AS n FROM (SELECT ord, unnest(regexp_extract_all(text,'{EMAIL}')) AS e FROM transcripts WHERE text IS NOT NULL) GROUP BY 1,2")
+def _(s, d):
+    e = texts(s, d).select("ord", F.explode(T.emails(F.col("text"))).alias("e"))
+    known = s.createDataFrame([(x,) for x in T.PLACEHOLDER_DOMAINS], "domain string").withColumn("placeholder", F.lit(True))
+    j = e.withColumn("domain", F.element_at(F.split(F.lower("e"), "@"), -1)).join(F.broadcast(known), "domain", "left")  # 16 fixed rows
+    return j.groupBy("ord", F.coalesce("placeholder", F.lit(False)).alias("placeholder")).agg(F.count(F.lit(1)).alias("n"))
