@@ -9,6 +9,7 @@ distinct value.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ ALIKE = {
     "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "κ": "k", "γ": "y", "χ": "x",
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "Օ": "O", "Տ": "S", "ԍ": "G", "Ԍ": "G", "ɡ": "g", "ɑ": "a", "ı": "i", "к": "k", "ѵ": "v", "Ѵ": "V",
 }
+#: Letters of two alphabets side by side, as no word has them by right.
+MIXED = re.compile(r"[A-Za-z][\u0370-\u04ff]|[\u0370-\u04ff][A-Za-z]")
 #: Kinds of compatibility decomposition that keep the look (not circles, fractions, raised signs).
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<compat>")
 

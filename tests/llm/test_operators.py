@@ -299,12 +299,12 @@ def test_mentions(spark, model):
     rows = [
         "Dr. Hugo L. Brandelm signed with passport Z02763047, call (555) 016-7053 or 06 39 98 34 81.", "Write to nora.x [at] fernway [dot] invalid or KLA@CAMPUS.VELM.TEST", "The order number is 4538-9121-9097, batch 7767565555, ip 203.0.113.233 on 2026-03-25.",
         "Owen has 65 apples and gives 6 to Nora.", "I live at Flat 25A, 87 Broveix Lane, Jafeiboul.", "मेरा नाम अनिल पुपेचघो है और मेरा फ़ोन नंबर ०५५५०१ ७५७५६ है।", "Follow @grudaes_pemeist; install takoleim@6.19.7", None, "", "SSN: 000-32-8802 and SSN: 000-32-8802",
-        "Ich heiße Greta Klouqueist und wohne in der Bralousstraße 109, 00575 Klefun.", "ＨＵＧＯ ＢＲＡＮＤＥＬＭ ｐｈｏｎｅ ５５５－０１６－７０５３",
+        "Ich heiße Greta Klouqueist und wohne in der Bralousstraße 109, 00575 Klefun.", "My name is Rυth Wunаs, mail me.", "ＨＵＧＯ ＢＲＡＮＤＥＬＭ ｐｈｏｎｅ ５５５－０１６－７０５３",
     ]
     got = found(personal.mentions(transcripts(spark, rows), model).select("ord", "kind", "nth"))
     assert got == sorted([
         (0, "name", 1), (0, "id_number", 1), (0, "phone", 1), (0, "phone", 2), (1, "email", 1), (1, "email", 2), (4, "address", 1), (5, "name", 1), (5, "phone", 1), (9, "id_number", 1), (9, "id_number", 2),
-        (10, "name", 1), (10, "address", 1), (11, "name", 1), (11, "phone", 1),
+        (10, "name", 1), (10, "address", 1), (11, "name", 1), (12, "name", 1), (12, "phone", 1),
     ])
     red = {r.ord: r.redacted for r in personal.redact(transcripts(spark, rows), model).collect()}
     assert red[0] == "Dr. [NAME] signed with passport [ID_NUMBER], call [PHONE] or [PHONE]." and red[7] is None and red[8] == "" and red[3] == rows[3]
