@@ -32,6 +32,10 @@ FAMILY = re.compile(rf"(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
 TWO = re.compile(rf"[\s\"':=]*({W})(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
 BEFORE_NAME = ("my name is", "name=", "name:", "applicant:", "the witness,", "dr.", "mr.", "mrs.", "ms.", "prof.", "\"contact\":", "attention", "the tenant is", "ask for", "you can reach", "it was", "me llamo", "ich heiße", "je m'appelle", "je m’appelle", "меня зовут", "заявитель:", "solicitante:", "antragsteller:", "demandeur :", "demandeur:", "मेरा नाम", "आवेदक:", "herr", "frau", "signed by", "meu nome é", "requerente:")
 AFTER_NAME = re.compile(r"\s*(?:will collect|who paid|signed|\(\(?\+?\d|\|\s*\+?\(?\d|\"?,? *\"tel\"|और मेरा|है|का पता|से .{0,24}बात|and my|und wohne|y vivo|mon adresse|, mon adresse|, мой адрес|; |, gave|at the counter|addr=|, documento|, ausweis|, num|, номер|, आधार|, पैन|, पहचान|, पासपोर्ट)", re.I)
+#: What follows a name in scripts without letter case, where no capital shows one: beginnings, and the whole context.
+AFTER_CASELESS = (" का पता", " है और मेरा", " से ")
+AFTER_CASELESS_WHOLE = re.compile(r" (?:का पता|है और मेरा|से [^\n]{0,24}बात)")
+LAST_TWO = re.compile(rf"(?<![\wऀ-ॣ०-ൿ])({W})(?:\s{{1,3}}[^\W\d_]\.)?[ \t]{{1,3}}({W})$")
 EMAIL = re.compile(r"[\w.+\-]+(?:@| {0,2}[(\[] ?at ?[)\]] {0,2})[\w\-]+(?:(?:\.| {0,2}[(\[] ?dot ?[)\]] {0,2})[\w\-]+)*|[\w.+\-]+ at [\w\-]+(?: dot [\w\-]+)+", re.I)
 NUMBER = re.compile(r"\+?\(?\d[\d ./()\-–]{2,}\d")
 TOWN = rf"{W}(?: {W})?"
@@ -115,6 +119,8 @@ class Lexicon:
             self.find.add_word(w, ("place", k))
         for w in BEFORE_NAME:
             self.find.add_word(w, ("before", len(w)))
+        for w in AFTER_CASELESS:
+            self.find.add_word(w, ("after", len(w)))
         for w in self.given:
             self.find.add_word(w, ("given", len(w)))
         for w in ("@", "at)", "at]", " dot "):
@@ -135,6 +141,24 @@ def _mark(c: str) -> bool:
     return c.isalnum() or c == "_" or "ऀ" <= c <= "ൿ" and c not in "।॥"
 
 
+def _caseless(w: str) -> bool:
+    return w[0].lower() == w[0].upper()
+
+
+def _name_case(m: re.Match | None) -> bool:
+    """Whether both words may be of a name: capital, or of a script without letter case."""
+    return bool(m) and not m.group(1)[0].islower() and not m.group(2)[0].islower()
+
+
+def _two_before(t: str, at: int) -> re.Match | None:
+    """The two words without letter case that a context after names follows at this place; their places count from
+    at - 60, or 0."""
+    if not AFTER_CASELESS_WHOLE.match(t, at):
+        return None
+    m = LAST_TWO.search(t[max(0, at - 60) : at])
+    return m if m and _caseless(m.group(1)) and _caseless(m.group(2)) else None
+
+
 def candidates(t: str, lexicon: Lexicon) -> list[tuple[str, int, int, tuple, tuple]]:
     """(group, start, end, votes, shape) of every span a pattern or the gazetteer proposes, none inside another."""
     low = t.lower()
@@ -142,7 +166,7 @@ def candidates(t: str, lexicon: Lexicon) -> list[tuple[str, int, int, tuple, tup
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
     out, taken = [], []
     mail, place = False, set()
-    given, before = [], []
+    given, before, after = [], [], []
     for end, (what, n) in lexicon.find.iter(low):
         s, e = end + 1 - n, end + 1
         if what == "mail":
@@ -152,6 +176,8 @@ def candidates(t: str, lexicon: Lexicon) -> list[tuple[str, int, int, tuple, tup
         elif what == "given":
             if (s == 0 or not _mark(low[s - 1])) and e < len(low) and not _mark(low[e]):
                 given.append((s, e))
+        elif what == "after":
+            after.append(s)
         else:
             before.append((s, e))
     if mail:
@@ -206,8 +232,13 @@ def candidates(t: str, lexicon: Lexicon) -> list[tuple[str, int, int, tuple, tup
         if s and _mark(low[s - 1]) and _mark(low[s]):
             continue
         m = TWO.match(t, e)
-        if m and m.start(1) not in names and m.group(1)[0].isupper() and m.group(2)[0].isupper():
+        if _name_case(m) and m.start(1) not in names and not (_caseless(m.group(2)) and m.group(2) in lexicon.common):
             names[m.start(1)] = (m.start(1), m.end(), False)
+    for at in after:
+        m = _two_before(t, at)
+        if m and m.group(2) not in lexicon.common:
+            s = max(0, at - 60) + m.start(1)
+            names.setdefault(s, (s, at, False))
     for s, e, known in sorted(names.values()):
         if any(a < e and s < b for a, b in taken) or e < len(t) and t[e] in "@_":
             continue
@@ -390,10 +421,33 @@ def _softmax_fit(rows: list[list[int]], soft: np.ndarray, features: int, n: int,
     return w
 
 
+@lru_cache(None)
+def _cues() -> ahocorasick.Automaton:
+    find = ahocorasick.Automaton()
+    for w in BEFORE_NAME:
+        find.add_word(w, (True, len(w)))
+    for w in AFTER_CASELESS:
+        find.add_word(w, (False, len(w)))
+    find.make_automaton()
+    return find
+
+
+def _near_cues(t: str):
+    """(first, second) word, in lower case, at each context of names."""
+    low = t.lower()
+    if len(low) != len(t):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    for end, (before, n) in _cues().iter(low):
+        m = TWO.match(t, end + 1) if before else _two_before(t, end + 1 - n)
+        if _name_case(m):
+            yield m.group(1).lower(), m.group(2).lower()
+
+
 def learn(texts: list[str]) -> Model:
     """A model from sample texts, without labels."""
     df: dict[str, int] = {}
     follow: dict[str, set[str]] = {}
+    cued: dict[str, int] = {}
     firsts: set[int] = set()
     distinct = []
     for t in texts:
@@ -406,14 +460,16 @@ def learn(texts: list[str]) -> Model:
     for t in distinct:
         for w in set(word.findall(t.lower())):
             df[w] = df.get(w, 0) + 1
-        for cue in BEFORE_NAME:
-            k = t.lower().find(cue) if len(t.lower()) == len(t) else -1
-            if k >= 0 and (m := TWO.match(t, k + len(cue))) and m.group(1)[0].isupper() and m.group(2)[0].isupper():
-                follow.setdefault(m.group(1).lower(), set()).add(m.group(2).lower())
+        near = set(_near_cues(t))
+        for first, second in near:
+            follow.setdefault(first, set()).add(second)
+        for first in {first for first, _ in near}:
+            cued[first] = cued.get(first, 0) + 1
     given = {w.lower() for w in GIVEN}
     least = max(3, len(distinct) // 800)
     common = {w for w, n in df.items() if n >= least and w not in given}
-    given |= {w for w, names in follow.items() if len(names) >= 3 and len(w) > 2 and df.get(w, 0) < len(distinct) / 20 and w not in common}
+    # a word that stands at cues in a good part of its texts is a name however frequent
+    given |= {w for w, names in follow.items() if len(names) >= 3 and len(w) > 2 and df.get(w, 0) < len(distinct) / 20 and (w not in common or cued[w] >= 0.2 * df[w])}
     common -= given
     lexicon = Lexicon(given, common)
     model = Model(lexicon)

@@ -311,6 +311,16 @@ def test_mentions(spark, model):
     assert red[10] == "Ich heiße [NAME] und wohne in der [ADDRESS]."
 
 
+def test_names_without_letter_case(model):
+    for t, name in (
+        ("मेरा नाम मीरा झेमेधिसु है और मेरा फ़ोन नंबर 01632 960151 है।", "मीरा झेमेधिसु"), ("आवेदक: मीरा रेटीमझी, आधार 0529 1519 2970।", "मीरा रेटीमझी"), ("मीरा टिलेबोसे से +915550104732 पर बात करें।", "मीरा टिलेबोसे"),
+        ("शांत तालाब।\nमीरा परुमीशे का पता: मकान नंबर 52, गली 8, माशेचिड नगर", "मीरा परुमीशे"),
+    ):
+        assert [t[s:e] for kind, s, e, _ in personal.spans(model, t) if kind == "name"] == [name]
+    seen = personal.learn([f"मेरा नाम मीरा झेमे{k} है और मेरा फ़ोन नंबर 01632 96015{k} है।" for k in "कखगघ"] + ["the old bridge " + chr(97 + k % 26) * (1 + k // 26) for k in range(200)])
+    assert "मीरा" in seen.lexicon.given
+
+
 def test_places_in_the_original(model):
     text = "x​ Lena Zorfel​ is here"
     (kind, s, e, _) = personal.spans(model, text)[0]
