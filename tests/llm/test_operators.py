@@ -277,6 +277,13 @@ def test_pairs(spark, tagger):
     assert pairs.check(transcripts(spark, rows).where("ord < 0"), tagger).count() == 0
 
 
+def test_pairs_in_scripts_without_spaces(spark, tagger):
+    q = "怎样把8258本书从沐荻岑棠送到岑芷霁溪？"
+    rows = [chat(q, q), chat(q, f"你的问题是：{q}"), chat(q, f"{q}\n{q}"), chat(q, "先坐船，然后走山路到岑芷霁溪的小"), chat(q, "先坐船，然后走山路。"), chat(q, "坐船"), chat("你好", "你好吗？"), chat("我怎么去车站？", "走路。")]
+    assert found(pairs.check(transcripts(spark, rows), tagger).where("defect <> 'other_language'")) == [(0, 1, "copy"), (1, 1, "copy"), (2, 1, "copy"), (3, 1, "truncated")]
+    assert pairs.unit_pattern().findall("ab นี้ 中文x नया 9") == ["ab", "นี้", "中", "文", "x", "नया", "9"]
+
+
 def test_refusals_by_cluster(spark):
     texts = ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven", "alpha beta gamma delta epsilon zeta eta theta", "x y"]
     df = spark.createDataFrame(list(enumerate(texts)), "o long, opening string")
