@@ -38,6 +38,7 @@ STRUCTURAL = frozenset(k for k, (w, r, _, e) in enumerate(CHAINS) if e == "repla
 PAIRS = frozenset(k for k, (w, r, _, e) in enumerate(CHAINS) if w in CHINESE and e == "strict")
 TOKEN = r"(?<![0-9A-Za-z])[0-9A-Za-z]*+[^\x00-\x7f][^\x00-/:-@\[-`{-\x7f]*"
 RUN = r"[^\x00-\x7f]+"
+ODD_RUN = r"\p{L}[\p{S}\p{No}\p{Cc}]+\p{L}"
 LATIN_RUN = r"[\x{80}-\x{17f}\x{2018}-\x{2122}\x{2c6}\x{2dc}]{6,}"
 
 
@@ -132,6 +133,46 @@ def suspect(word: str) -> bool:
     return False
 
 
+def _symbol(c: str) -> bool:
+    return unicodedata.category(c) in ("Sm", "Sc", "Sk", "So", "No", "Cc", "Cn", "Co") or c in "¡¿§¶†‡•‰"
+
+
+def _alphabets(word: str) -> set[str]:
+    return {unicodedata.name(c, "?").split(" ")[0] for c in word if c.isalpha()}
+
+
+@lru_cache(65536)
+def odd(token: str) -> bool:
+    """Whether no writing system makes such a word: symbols between letters, letters of two alphabets, or small letters
+    before capitals twice or in letters beyond ASCII alone."""
+    k = [0 if c.isalpha() else 1 if _symbol(c) else 2 for c in token]
+    at = [j for j, x in enumerate(k) if x == 0]
+    if at and any(x == 1 for x in k[at[0] : at[-1]]) and all(x < 2 for x in k[at[0] : at[-1]]):
+        return True
+    found = _alphabets(token)
+    if len(found & {"LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "HEBREW", "ARABIC"}) > 1:
+        return True
+    breaks = sum(a.islower() and b.isupper() for a, b in zip(token, token[1:]))
+    return breaks > 1 or breaks == 1 and len(token) > 3 and all(ord(c) > 0x7F for c in token)
+
+
+def evident(token: str, word: str) -> bool:
+    """Whether the two forms alone tell which is the garbled one, however often either occurs: the clean one is a plain
+    word of one alphabet, the other is odd or a run of accented letters only where the word is of another alphabet."""
+    if len(word) < 3 or not all(c.isalpha() or unicodedata.category(c)[0] == "M" for c in word):
+        return False
+    if not (word[1:].islower() or word.isupper()) or odd(word):
+        return False
+    clean = _alphabets(word)
+    if len(clean) != 1:
+        return False
+    return odd(token) or clean != {"LATIN"} and len(token) > 3 and _alphabets(token) == {"LATIN"} and all(ord(c) > 0x7F and (c.isalpha() or _symbol(c)) for c in token)
+
+
+def _chinese(word: str) -> bool:
+    return all("\u3400" <= c <= "\u9fff" or "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uff5e" for c in word)
+
+
 def hash64(text: str) -> int:
     """What Spark's xxhash64 gives for a string."""
     h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
@@ -159,8 +200,16 @@ def _forms(batches):
 
 def _verified(batches):
     for b in batches:
-        ok = [garble(w, k) == g for g, w, k in zip(b.column("token").to_pylist(), b.column("word").to_pylist(), b.column("chain").to_pylist())]
-        yield b.filter(pa.array(ok, pa.bool_()))
+        rows = []
+        for g, w, k, n, certain in zip(*(b.column(c).to_pylist() for c in ("token", "word", "chain", "w_df", "certain"))):
+            if garble(w, k) != g:
+                continue
+            sure = len(w) > 1 and _chinese(w) and odd(g) if k in PAIRS else k not in STRUCTURAL and evident(g, w)
+            if certain or sure or k not in PAIRS and k not in STRUCTURAL:
+                rows.append((g, w, k, n, 2 if sure else int(certain)))
+        cols = list(zip(*rows)) if rows else [()] * 5
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["token", "word", "chain", "w_df", "level"])
 
 
 def doc_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -169,48 +218,65 @@ def doc_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     tokens = F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))
     runs = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
     han = F.regexp_extract_all("_text", F.lit(r"[\x{3000}-\x{303f}\x{3400}-\x{9fff}\x{ff00}-\x{ff5e}]"), F.lit(0))
-    pairs = F.flatten(F.transform(F.regexp_extract_all("_text", F.lit(LATIN_RUN), F.lit(0)), lambda x: F.regexp_extract_all(x, F.lit("(?s).."), F.lit(0))))
+    # other readings of Chinese bytes: runs in which letters and symbols alternate
+    mixed = F.filter(runs, lambda x: (F.length(x) > 5) & x.rlike(ODD_RUN))
+    pairs = F.flatten(F.transform(F.array_union(F.regexp_extract_all("_text", F.lit(LATIN_RUN), F.lit(0)), mixed), lambda x: F.regexp_extract_all(x, F.lit("(?s).."), F.lit(0))))
     return d.select("_id", F.explode(F.array_distinct(F.concat(tokens, runs, han, pairs))).alias("token"))
 
 
 def matches(tokens: DataFrame) -> DataFrame:
-    """(token, word, chain) from (_id, token): garbled tokens of the corpus with their clean word, the most frequent
-    one."""
+    """(token, word, chain, level) from (_id, token) of distinct texts: garbled tokens of the corpus with their clean
+    word, the most frequent one. level 2: the word alone shows it, 1: so does its frequency or chain, 0: another word of
+    the document must show the chain; such a token comes with each of its chains."""
     vocabulary = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("h", F.xxhash64("token")), "p9")
     forms = arrow_map(vocabulary.select("token", "df"), _forms, "hg long, chain int, w_df long, hw long, w_len int")
     joined = forms.join(vocabulary.select("token", "df", F.col("h").alias("hg")), "hg")
     # a chain that keeps to one byte a letter may turn one word into another: the rarer is the garbled one
     whole = (F.col("w_len") > 1) | F.col("token").rlike(r"^[^\x00-\x7f]+$")
     certain = F.col("chain").isin(*sorted(STRUCTURAL)) | (F.col("chain").isin(*sorted(PAIRS)) & whole)
-    joined = joined.where(certain | ((F.col("w_len") >= 3) & (F.col("w_df") >= 3) & (F.col("w_df") > 5 * F.col("df"))))
+    # or it is the one that no writing system makes, at any frequency, which the verification tells
+    rarer = (F.col("w_df") >= 3) & (F.col("w_df") > 5 * F.col("df"))
+    joined = joined.where(certain | (F.col("w_len") >= 3)).withColumn("certain", certain | rarer)
     words = vocabulary.select(F.col("h").alias("hw"), F.col("token").alias("word"))
-    both = joined.join(words, "hw").select("token", "word", "chain", "w_df")
-    checked = arrow_map(both, _verified, "token string, word string, chain int, w_df long")
-    best = checked.groupBy("token").agg(F.max(F.struct("w_df", F.struct(-F.col("chain"), "word"))).alias("m"))
-    best = materialise(best.select("token", F.col("m.col2.word").alias("word"), (-F.col("m.col2.col1")).alias("chain")), "p9b")
+    both = joined.join(words, "hw").select("token", "word", "chain", "w_df", "certain")
+    checked = arrow_map(both, _verified, "token string, word string, chain int, w_df long, level int")
+    # one chain a token where it is shown, else each
+    told = F.when(F.col("level") > 0, -1).otherwise(F.col("chain"))
+    best = checked.groupBy("token", told.alias("told")).agg(F.max(F.struct("w_df", F.struct(-F.col("chain"), "word"))).alias("m"), F.max("level").alias("level"))
+    best = materialise(best.select("token", F.col("m.col2.word").alias("word"), (-F.col("m.col2.col1")).alias("chain"), "level"), "p9b")
+    shown = best.where("level > 0")
+    best = shown.unionByName(best.where("level = 0").join(shown.select("token"), "token", "left_anti"))
     # words met nowhere clean: their letters are; the letters of a corpus are as bounded as Unicode
-    letters = vocabulary.join(best.select("token"), "token", "left_anti").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("c")).groupBy("c").agg(F.sum("df").alias("n")).where("n > 1 and c <> ''")
+    letters = vocabulary.join(shown.select("token"), "token", "left_anti").select("df", F.explode(F.array_distinct(F.split("token", ""))).alias("c")).groupBy("c").agg(F.sum("df").alias("n")).where("n > 1 and c <> ''")
     known = tokens.sparkSession.sparkContext.broadcast({r.c for r in letters.select("c").collect()})
-    rest = vocabulary.join(best.select("token"), "token", "left_anti").select("token", "df")
-    return best.unionByName(arrow_map(rest, _spelled(known), "token string, word string, chain int"))
+    rest = vocabulary.join(shown.select("token"), "token", "left_anti").select("token", "df")
+    return best.unionByName(arrow_map(rest, _spelled(known), "token string, word string, chain int, level int"))
 
 
 def _spelled(known):
     """Tokens whose whole letter sequence is that of a garbled word of known letters."""
     chains = [k for k in sorted(STRUCTURAL) if CHAINS[k][3] == "strict"]
+    chinese = [k for k in sorted(PAIRS) if CHAINS[k][0] in ("gb18030", "big5")]
 
     def run(batches):
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
-                if len(t) > 3 and "�" not in t and suspect(t):
+                if len(t) > 3 and all(ord(c) > 0x7F for c in t) and "�" not in t and odd(t):
+                    for k in chinese:
+                        o = restore(t, k)
+                        if o is not None and 2 * len(o) == len(t) and _chinese(o) and all(c in known.value for c in o):
+                            out.append((t, o, k, 2))
+                            break
+                if (not out or out[-1][0] != t) and len(t) > 3 and "�" not in t and suspect(t):
                     for k in chains:
                         o = restore(t, k)
                         if o is not None and len(o) < len(t) and all(c in known.value for c in o) and not suspect(o):
-                            out.append((t, o, k))
+                            out.append((t, o, k, 2))
                             break
-            cols = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()))], names=["token", "word", "chain"])
+            cols = list(zip(*out)) if out else [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["token", "word", "chain", "level"])
 
     return run
 
@@ -218,15 +284,23 @@ def _spelled(known):
 def hits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_id, token, word, chain) of each document's garbled tokens.
 
-    Pairs of Latin letters count only where a document has three that are Chinese characters, and words garbled
-    byte by byte only where it has two of them or the word mixes alphabets.
+    Pairs of letters count only where a document has three that are Chinese characters, and words garbled byte by byte
+    only where it has two of them or the word is one that no writing system makes. Equal texts count once: a document
+    that is a third of all rows weighs as any other; its copies come out by its first.
     """
-    tokens = materialise(doc_tokens(df, id_col, text_col), "p9t")
+    d = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    keyed = d.where(F.col("_text").rlike(r"[^\x00-\x7f]")).select("_id", F.xxhash64("_text").alias("k1"), F.xxhash64(F.lit(9), "_text").alias("k2"))
+    firsts = keyed.groupBy("k1", "k2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialise(keyed.join(firsts, ["k1", "k2"]).where("_id <> _first").select("_id", "_first"), "p9c")
+    tokens = materialise(doc_tokens(d.join(copies.select("_id"), "_id", "left_anti"), "_id", "_text"), "p9t")
     got = materialise(tokens.join(materialise(matches(tokens), "p9m"), "token"), "p9h")
     got = got.withColumn("kind", F.when(F.col("chain").isin(*sorted(STRUCTURAL)), 0).when(F.col("chain").isin(*sorted(PAIRS)), 1).otherwise(2))
-    enough = got.groupBy("_id").agg(F.count_if(F.col("kind") == 0).alias("n0"), F.count_if(F.col("kind") == 1).alias("n1"), F.count_if(F.col("kind") == 2).alias("n2"))
-    ok = enough.where("n0 > 0 or n1 >= 3 or n2 >= 2").select("_id")
-    return got.join(ok, "_id", "left_semi")
+    n = lambda kind: F.count_if((F.col("level") > 0) & (F.col("kind") == kind))
+    enough = got.groupBy("_id").agg(n(0).alias("n0"), n(1).alias("n1"), n(2).alias("n2"), F.max("level").alias("most"), F.collect_set(F.when(F.col("level") > 0, F.col("chain"))).alias("chains"))
+    ok = enough.where("n0 > 0 or n1 >= 3 or n2 >= 2 or most = 2").select("_id", "chains")
+    got = got.join(ok, "_id").where("level > 0 or array_contains(chains, chain)").drop("chains")
+    again = got.withColumnRenamed("_id", "_first").join(copies, "_first").select(*got.columns)
+    return got.unionByName(again)
 
 
 def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

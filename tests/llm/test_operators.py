@@ -183,6 +183,16 @@ def test_garbled(spark):
     assert garbled.found(df.where("doc_id < 0")).count() == 0
 
 
+def test_garbled_at_any_frequency(spark):
+    ru, de, zh = "Терпеливый читатель хранит записи.", "Der Müller hat Gäste.", "后来小图书馆很受孩子们喜欢，夜市一直在河边"
+    clean = [ru, de, zh, "Olá Ångström ÀÉ", "Иван и Müller", "x ± y, 25°C «Да»", "ИванПетров"]
+    one_word = "Der Müller hat Gäste, sagt " + "читатель".encode("cp1251").decode("latin-1")
+    bad = [ru.encode("cp1251").decode("latin-1")] * 12 + [ru.encode("cp1251").decode("koi8_r"), one_word, "Der " + "Müller".encode("cp1252").decode("cp1251") + " hat.", "see " + "图书馆".encode("gb18030").decode("latin-1") + " here",
+           zh.encode("gb18030").decode("cp1251")]
+    n = len(clean)
+    assert found(garbled.found(documents(spark, clean + bad))) == [(k,) for k in range(n, n + len(bad))]
+
+
 def test_hash_is_sparks(spark):
     for t in ("", "a", "naïve", "नदी" * 30):
         assert spark.createDataFrame([(t,)], "t string").selectExpr("xxhash64(t) h").first().h == garbled.hash64(t)
