@@ -118,6 +118,27 @@ def test_leak_with_substitution(spark):
     assert leaks.found(transcripts(spark, ["x"]), ev.where("item_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("errors", range(6))
+def test_masks_miss_no_pattern(errors):
+    from itertools import combinations
+
+    for places in combinations(range(1, leaks.SPAN), errors):
+        assert any(all(m[k] == "0" for k in places) for m in leaks.masks(errors)), places
+    assert all(m[0] == "1" and len(m) == leaks.SPAN for m in leaks.masks(errors))
+
+
+def test_leaks_with_any_three_substitutions(spark):
+    from itertools import combinations
+
+    w = [f"word{k}" for k in range(60)]
+    texts = [" ".join("other" if k % 6 == 5 else x for k, x in enumerate(w)), " ".join("other" if k % 4 == 3 else x for k, x in enumerate(w)), " ".join("other" if k % 3 == 2 else x for k, x in enumerate(w))]
+    # one passage of words with three replaced, and elsewhere a longer run of equal words that is none
+    texts += [" ".join([*w[:7], *["other"] * 13, *(w[k] if k - 20 not in gone else "other" for k in range(20, 32))]) for gone in combinations(range(1, 11), 3)]
+    ev = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    got = {r.ord: r.words for r in leaks.overlaps(transcripts(spark, texts), ev).collect()}
+    assert got == {0: 59, 1: 59} | {k: 12 for k in range(3, len(texts))}
+
+
 # ---------------------------------------------------------------- 7: token ids
 
 
