@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.base import arrow_map, id_and_text
 from lexmill.llm.lookalikes import ALIKE, MIXED, ignorable, table
+from lexmill.session import materialise
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Common given names of several languages, a start for the gazetteer; the sample adds what it finds.
@@ -28,6 +30,8 @@ Anna Maria Peter Paul John James Mary Robert Michael Sarah David Laura Thomas Ju
 Pierre Marie Jean Camille Louis Sophie Claire Julien Nicolas Hans Karl Ingrid Klaus Sabine Stefan Katrin Heinz Amit Rahul Anjali Sunita Rajesh Kavita Mohan Neha Anil Vikas Deepak Pooja Arjun
 Виктор Мария Ольга Анна Павел Игорь Иван Сергей Дмитрий Наталья Елена Татьяна Алексей Андрей Юлия अनिल विकास कविता मोहन सुनीता राजेश नेहा अमित प्रिया दीपक पूजा राहुल अंजलि""".split()
 W = r"[^\W\d_](?:[^\W_]|['’\-](?=[^\W\d_])|[ऀ-ॣ०-ൿ̀-ͯ])*"
+#: The same words, for counting: runs are not tried again.
+W_FAST = re.compile(r"[^\W\d_](?:[^\W_]++|['’\-](?=[^\W\d_])|[ऀ-ॣ०-ൿ̀-ͯ]++)*+")
 FAMILY = re.compile(rf"(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
 TWO = re.compile(rf"[\s\"':=]*({W})(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
 BEFORE_NAME = ("my name is", "name=", "name:", "applicant:", "the witness,", "dr.", "mr.", "mrs.", "ms.", "prof.", "\"contact\":", "attention", "the tenant is", "ask for", "you can reach", "it was", "me llamo", "ich heiße", "je m'appelle", "je m’appelle", "меня зовут", "заявитель:", "solicitante:", "antragsteller:", "demandeur :", "demandeur:", "मेरा नाम", "आवेदक:", "herr", "frau", "signed by", "meu nome é", "requerente:")
@@ -68,6 +72,8 @@ PHONE_FORMS = re.compile(r"\+\d{1,3}[ .\-]?\(?\d{1,5}\)?(?:[ .\-]?\d{2,5}){1,4}|
 ID_FORMS = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}|\d{3}-\d{2}-\d{4}|[A-Za-z]{5}\d{4}[A-Za-z]|[A-Za-z]\d{7,8}")
 OTHER_FORMS = re.compile(r"\d+\.\d{4,}|\d{1,3}(?:\.\d{1,3}){3}|\d{4}[-./]\d{2}[-./]\d{2}|\d{1,2}[-./]\d{1,2}[-./]\d{4}|\d+(?:-\d+){4,}|\d{14,}|\d+(?:\.\d+){2,4}|\d+ ?[-–/] ?\d{1,4}")
 SAMPLE_ROWS = 4000
+#: Given names learnt at most, the ones of most family names first; words a task counts before it passes them on.
+NAMES_AT_MOST, WORDS_AT_ONCE = 100_000, 300_000
 
 
 @lru_cache(None)
@@ -76,13 +82,18 @@ def _same_width() -> dict[int, str]:
     return {k: v for k, v in table(False).items() if len(v) == 1 and (0xFF00 <= k <= 0xFFEF or v == " ")}
 
 
+@lru_cache(None)
+def _has_width() -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(k)) for k in sorted(_same_width())) + "]")
+
+
 def plain(text: str) -> tuple[str, list[int] | None]:
     """The text with full-width forms, special spaces and look-alike letters plain and invisible characters gone; with the place of each
     character in the original where that differs."""
     if text.isascii():
         return text, None
-    t = text.translate(_same_width())
-    if MIXED.search(t):
+    t = text.translate(_same_width()) if _has_width().search(text) else text
+    if _MAY_MIX.search(t) and MIXED.search(t):
         t = _WORD.sub(lambda m: m.group().translate(_ALIKE) if MIXED.search(m.group()) else m.group(), t)
     if any(map(t.__contains__, _INVISIBLE)):
         at = [k for k, c in enumerate(t) if not ignorable(c)]
@@ -90,6 +101,8 @@ def plain(text: str) -> tuple[str, list[int] | None]:
     return t, None
 
 
+#: A text without any of these mixes no alphabets; most texts end here.
+_MAY_MIX = re.compile("[\u0370-\u04ff]")
 _WORD, _ALIKE = re.compile(r"\w+"), {ord(k): v for k, v in ALIKE.items()}
 _INVISIBLE = ("​", "‌", "‍", "⁠", "﻿", "­", "‎", "‏")
 
@@ -443,45 +456,74 @@ def _near_cues(t: str):
             yield m.group(1).lower(), m.group(2).lower()
 
 
-def learn(texts: list[str]) -> Model:
-    """A model from sample texts, without labels."""
-    df: dict[str, int] = {}
-    follow: dict[str, set[str]] = {}
-    cued: dict[str, int] = {}
-    firsts: set[int] = set()
-    distinct = []
-    for t in texts:
-        low = plain(t)[0]
-        key = hash("".join(c for c in low[:600].lower() if c.isalpha())[:200])
-        if key not in firsts:
-            firsts.add(key)
-            distinct.append(low)
-    word = re.compile(W)
-    for t in distinct:
-        for w in set(word.findall(t.lower())):
-            df[w] = df.get(w, 0) + 1
-        near = set(_near_cues(t))
-        for first, second in near:
-            follow.setdefault(first, set()).add(second)
-        for first in {first for first, _ in near}:
-            cued[first] = cued.get(first, 0) + 1
-    given = {w.lower() for w in GIVEN}
-    least = max(3, len(distinct) // 800)
-    common = {w for w, n in df.items() if n >= least and w not in given}
-    # a word that stands at cues in a good part of its texts is a name however frequent
-    given |= {w for w, names in follow.items() if len(names) >= 3 and len(w) > 2 and df.get(w, 0) < len(distinct) / 20 and (w not in common or cued[w] >= 0.2 * df[w])}
-    common -= given
-    lexicon = Lexicon(given, common)
-    model = Model(lexicon)
-    return model.fit([(g, v, sh) for t in distinct for g, _, _, v, sh in candidates(t, lexicon)])
+def _counts(batches):
+    """(word, other, n, cued): in how many texts a word stands, and at a context of names; the words after it there."""
+
+    def flush():
+        rows = [(w, None, n, cued[w]) for w, n in df.items()] + [(w, o, 0, 0) for w, o in follow]
+        df.clear(), cued.clear(), follow.clear()
+        cols = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["word", "other", "n", "cued"])
+
+    df, cued, follow = Counter(), Counter(), set()
+    for b in batches:
+        for t in b.column(1).to_pylist():
+            t = plain(t)[0]
+            df.update(set(W_FAST.findall(t.lower())))
+            if near := set(_near_cues(t)):
+                follow |= near
+                cued.update({first for first, _ in near})
+            if len(df) + len(follow) > WORDS_AT_ONCE:
+                yield flush()
+    yield flush()
+
+
+def _name_words(df: dict[str, int], cued: dict[str, int], follow: dict[str, int], n: int) -> tuple[set[str], set[str]]:
+    """(given names, common words) from document frequencies, how often a word stands at a context of names and before
+    how many different words there, in n texts. A name stands at such a context in a good part of its texts."""
+    known = {w.lower() for w in GIVEN}
+    least = max(3, n // 800)
+    common = {w for w, k in df.items() if k >= least and w not in known}
+    given = known | {w for w, k in follow.items() if k >= 3 and len(w) > 2 and df.get(w, 0) < n / 20 and cued[w] >= 0.2 * df.get(w, 0)}
+    return given, common - given
+
+
+def lexicon(d: DataFrame) -> Lexicon:
+    """Given names and common words of all distinct texts of (_id, _text), by one aggregation over the rows."""
+    d = d.where("_text is not null and trim(_text) <> ''")
+    keyed = d.select("_id", F.xxhash64("_text").alias("k1"), F.xxhash64(F.lit(5), "_text").alias("k2"))
+    firsts = materialise(keyed.groupBy("k1", "k2").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("times")), "p5k")
+    n = firsts.count()
+    copies = keyed.join(firsts.where("times > 1"), ["k1", "k2"]).where("_id <> _first").select("_id")
+    counted = arrow_map(d.join(copies, "_id", "left_anti"), _counts, "word string, other string, n long, cued long")
+    pairs = counted.groupBy("word", "other").agg(F.sum("n").alias("n"), F.sum("cued").alias("cued"))
+    words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("n"), F.sum("cued").alias("cued"), F.count("other").alias("names")).where((F.col("n") >= max(3, n // 800)) | (F.col("names") >= 3)), "p5w")
+    rows = words.where(F.col("n") >= max(3, n // 800)).collect()  # as many as words of one text in 800, times 800, at most
+    rows += words.where((F.col("n") < max(3, n // 800)) & (F.col("cued") >= 0.2 * F.col("n"))).orderBy(F.desc("names"), "word").limit(NAMES_AT_MOST).collect()
+    return Lexicon(*_name_words({r.word: r.n for r in rows}, {r.word: r.cued for r in rows}, {r.word: r.names for r in rows if r.names}, n))
+
+
+def learn(texts: list[str], words: Lexicon | None = None) -> Model:
+    """A model from sample texts, without labels; `words`: names and common words of the whole corpus, else those of the
+    sample."""
+    distinct = list(dict.fromkeys(plain(t)[0] for t in texts))
+    if words is None:
+        df, cued, follow = Counter(), Counter(), set()
+        for t in distinct:
+            df.update(set(W_FAST.findall(t.lower())))
+            near = set(_near_cues(t))
+            follow |= near
+            cued.update({first for first, _ in near})
+        words = Lexicon(*_name_words(df, cued, Counter(first for first, _ in follow), len(distinct)))
+    return Model(words).fit([(g, v, sh) for t in distinct for g, _, _, v, sh in candidates(t, words)])
 
 
 def train(df: DataFrame, id_col: str = "ord", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from a bounded sample of about `rows` rows, drawn by a hash of the id."""
+    """A model from the word counts of all rows and a bounded sample of about `rows` rows, drawn by a hash of the id."""
     n = df.count()
     place = F.pmod(F.xxhash64(F.lit("pii"), id_col), F.lit(1_000_003)) / 1_000_003.0
     got = df.where(F.col(text_col).isNotNull() & (place < rows / max(1, n))).select(id_col, text_col).limit(2 * rows).collect()
-    return learn([r[1] for r in sorted(got)])
+    return learn([r[1] for r in sorted(got)], lexicon(id_and_text(df, id_col, text_col)))
 
 
 def spans(model: Model, text: str) -> list[tuple[str, int, int, float]]:

@@ -359,6 +359,17 @@ def test_names_without_letter_case(model):
     assert "मीरा" in seen.lexicon.given
 
 
+def test_names_of_all_rows(spark):
+    # five mentions among 6,000 rows: a sample has less than three of them; no prefix of 200 letters tells texts apart
+    head = "the bridge was counted " * 20
+    rows = [f"{head} {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6000)]
+    for k in range(5):
+        rows[k * 1100] = f"{head} My name is Qorwin Zor{'abcde'[k]}el and my mailbox is a{k}@velm.test."
+    df = transcripts(spark, rows + rows[:1] * 3000)
+    got = personal.train(df, rows=50).lexicon
+    assert "qorwin" in got.given and {"bridge", "counted"} <= got.common and "zorael" not in got.given
+
+
 def test_places_in_the_original(model):
     text = "x​ Lena Zorfel​ is here"
     (kind, s, e, _) = personal.spans(model, text)[0]
