@@ -315,6 +315,12 @@ def test_pairs_in_scripts_without_spaces(spark, tagger):
     assert pairs.unit_pattern().findall("ab นี้ 中文x नया 9") == ["ab", "นี้", "中", "文", "x", "नया", "9"]
 
 
+def test_copies_of_any_length_and_look(spark, tagger):
+    q = "How does the old bridge near the garden keep its maps?"
+    rows = [chat(q, " ".join([q] * 9)), chat(q, q.replace("bridge", "brіdge").replace("garden", "gаrden")), chat(q, f"{q} It keeps them dry. " * 9)]
+    assert found(pairs.check(transcripts(spark, rows), tagger)) == [(0, 1, "copy"), (1, 1, "copy")]
+
+
 def test_refusals_by_cluster(spark):
     texts = ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven", "alpha beta gamma delta epsilon zeta eta theta", "x y"]
     df = spark.createDataFrame(list(enumerate(texts)), "o long, opening string")
