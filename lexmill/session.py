@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -28,32 +29,68 @@ def local_session(app: str = "lexmill", cores: int = 8, memory: str = "8g") -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where it is unset (tests) a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Only a session of one machine, as in tests, may go without: it gets a temporary
+    one; on a cluster no executor could read what another wrote there."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new path for a step's table, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/lexmill-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df once to the shared folder and reads it back, so what follows neither repeats the work
     nor depends on an executor that may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/lexmill-{os.getpid()}/{name}-{uuid.uuid4().hex}"
+    path = step_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    got = df.sparkSession.read.schema(df.schema).parquet(path)
+    got._step = path
+    return got
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the table behind a materialised df that nothing reads any more."""
+    path = getattr(df, "_step", None)
+    if path in _WRITTEN:
+        _delete(path, _WRITTEN.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        try:
+            _delete(path, spark)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
 
 
-def read_spread(spark: SparkSession, path: str, key: str, least_mb: float = 2.0) -> DataFrame:
-    """A Parquet table; one of fewer files than there are cores is spread by key over them, as a file of one row group
-    keeps all but one core idle. A table of many files is read as it lies."""
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A Parquet table. One that is a single file smaller than a split, which would keep all but one core idle, is spread
+    by key: at most a split is ever shuffled, and tables of several files are read as they lie."""
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if len(df._jdf.inputFiles()) >= cores:  # counted in the JVM: a large table has many
+    if len(df._jdf.inputFiles()) > 1:  # counted in the JVM: a large table has many
         return df
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-    return df.repartition(cores, key) if size > least_mb * 1e6 else df
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if 1 << 20 < size < split else df
 
 
 _SHIPPED: set[str] = set()
