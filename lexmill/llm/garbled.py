@@ -13,11 +13,10 @@ import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.base import arrow_map, id_and_text
+from lexmill.llm.base import arrow_map, hash64, id_and_text
 from lexmill.session import materialise
 
 #: Single-byte encodings a text may have been read in.
@@ -173,12 +172,6 @@ def _chinese(word: str) -> bool:
     return all("\u3400" <= c <= "\u9fff" or "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uff5e" for c in word)
 
 
-def hash64(text: str) -> int:
-    """What Spark's xxhash64 gives for a string."""
-    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
 def _forms(batches):
     every, far = list(range(len(CHAINS))), [k for k, c in enumerate(CHAINS) if c[0] == "utf-8"]
     for b in batches:

@@ -300,8 +300,11 @@ def test_pairs(spark, tagger):
         chat("Repeat the following line exactly, with nothing added: " + en[0], en[0]), chat("Answer with one word only. " + q, "Yes"), chat(q, f"You cannot skip it. I can't stress that enough: {good}"), chat(q, f"{good}\n\n| a | b |\n|---|---|\n| 1 | 2 |"),
         chat(q, good) + "\n" + chat(q, "—") + "\n" + chat(q, "TBD"), None, "", " ", "no turns", chat(q, "​"), chat(q, f"{good}\n\n- Foo 12\n- Foo 13"), chat(q, "＜think＞\nLet me see.\n＜/think＞\n\n" + good),
     ]
+    # a refusal is one that recurs under unrelated prompts
+    rows += [chat(x, "I'm sorry, but I can't help with that. Please ask something else.") for x in (en[1], en[2], en[3], "Where does the village choir meet?")]
     got = found(pairs.check(transcripts(spark, rows), tagger))
-    assert got == [
+    assert got[-4:] == [(k, 1, "refusal") for k in range(24, 28)]
+    assert got[:-4] == [
         (1, 1, "empty"), (2, 1, "empty"), (3, 1, "empty"), (4, 1, "truncated"), (5, 1, "truncated"), (6, 1, "truncated"), (7, 1, "copy"), (8, 1, "copy"), (9, 1, "refusal"), (10, 1, "other_language"),
         (16, 2, "empty"), (16, 3, "empty"), (21, 1, "empty"),
     ]
@@ -321,6 +324,29 @@ def test_copies_of_any_length_and_look(spark, tagger):
     assert found(pairs.check(transcripts(spark, rows), tagger)) == [(0, 1, "copy"), (1, 1, "copy")]
 
 
+PROMPTS = ["Where does the choir meet at noon?", "Compare the harvest of Bohoul with that of Klaep.", "How many crates fit in the mill?", "Write a short note about tidal clocks.", "Who keeps the ledger of the spring?", "Name three rules of the river law."]
+
+
+def test_refusals_in_unseen_words(spark, tagger):
+    en = SENTENCES["en"]
+    long = " ".join(f"This house keeps its counsel on matter {w}, and on the ones beside it, as it was told to do." for w in ("one", "two", "three", "four", "five"))
+    rows = [chat(q, "That lies outside my remit today. Kindly choose some other matter.") for q in PROMPTS]
+    rows += [chat(q, long) for q in PROMPTS]
+    rows += [chat(q, f"{en[k % 4]} {en[(k + 1) % 4]} {en[(k + 2) % 4]}") for k, q in enumerate(PROMPTS * 4)]
+    # recurs under prompts that begin alike, or under one prompt in several forms: none
+    rows += [chat(f"Answer with one word only, please: {q}", "Certainly") for q in PROMPTS]
+    rows += [chat(q, "The mill stands on the left bank. It was built in spring.") for q in ("Where is the mill of Bohoul?", "where is the MILL of Bohoul", "Of Bohoul, where is the mill?", "Is the mill of Bohoul where?", "the mill of Bohoul is where?")]
+    got = found(pairs.check(transcripts(spark, rows), tagger).where("defect = 'refusal'"))
+    assert got == [(k, 1, "refusal") for k in range(12)]
+
+
+def test_refusal_clauses():
+    assert pairs.closed_clauses("Sorry, but 12 Foo things! Ask again.", "x") == ["sorry", "but # # things", "ask again"]
+    assert pairs.closed_clauses("One. Two. Three.", "") is None and pairs.closed_clauses("One. Two. Three", "") is None
+    assert pairs.closed_clauses("Vuhir is closed to me", "Where is Vuhir?") == ["# is closed to me"]
+    assert pairs.ends_of("First part, then. More of it. And so on, last part.", "") == ["first part", "last part"]
+
+
 def test_refusals_by_cluster(spark):
     texts = ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine ten eleven", "alpha beta gamma delta epsilon zeta eta theta", "x y"]
     df = spark.createDataFrame(list(enumerate(texts)), "o long, opening string")
@@ -328,6 +354,25 @@ def test_refusals_by_cluster(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def test_cluster_recall_against_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    texts = []
+    for _ in range(60):  # many begin alike, so buckets are hot
+        base = words[:6] + [rng.choice(words) for _ in range(rng.randint(8, 30))]
+        for _ in range(4):
+            t = list(base)
+            if rng.random() < 0.8:
+                t[rng.choice((-1, len(t) - 2))] = rng.choice(words)
+            texts.append(" ".join(t))
+    texts = sorted(set(texts))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    label = {r.o: r.cluster for r in pairs.clusters(spark.createDataFrame(list(enumerate(texts)), "o long, opening string")).collect()}
+    together = sum(label[a] == label[b] for a, b in want)
+    assert len(want) > 50 and together >= 0.9 * len(want)
+
+
 # ---------------------------------------------------------------- 5: personal information
 
 
