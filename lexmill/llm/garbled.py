@@ -12,6 +12,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,23 +173,72 @@ def _chinese(word: str) -> bool:
     return all("\u3400" <= c <= "\u9fff" or "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uff5e" for c in word)
 
 
+@lru_cache(None)
+def _letters(encoding: str) -> tuple[dict[int, str], re.Pattern]:
+    """char -> byte, as the character of that number, of a single-byte writer; and lines it cannot write."""
+    to_byte = _tables(encoding)[1]
+    return {o: chr(b) for o, b in to_byte.items()}, re.compile("[^" + re.escape("".join(map(chr, to_byte))) + "]")
+
+
+def _written(words: list[str], writer: str) -> tuple[list[int], str]:
+    """(which words the writer can write, their bytes line by line, as characters of those numbers). No writer has the
+    byte of a line end within a character."""
+    if writer in ONE_BYTE:
+        at = [k for k, x in enumerate(words) if not _letters(writer)[1].search(x)]
+        return at, "\n".join([words[k] for k in at]).translate(_letters(writer)[0])
+    raw = [_write(x, writer) for x in words]
+    at = [k for k, x in enumerate(raw) if x is not None]
+    return at, b"\n".join([raw[k] for k in at]).decode("latin-1")
+
+
+def garbled_lines(words: list[str], chain: int, written: dict[str, tuple[list[int], str]]) -> list[str | None]:
+    """garble() of each word, none of which has a line end: the words go through the chain as the lines of one text.
+    `written` keeps what each writer made of the same words."""
+    w, r, twice, errors = CHAINS[chain]
+    if r not in ONE_BYTE:
+        return [garble(x, chain) for x in words]
+    if w not in written:
+        written[w] = _written(words, w)
+    at, raw = written[w]
+    out: list[str | None] = [None] * len(words)
+    if not at:
+        return out
+    text = raw.translate(_decoder(r))
+    if twice:
+        text = text.encode(w).decode("latin-1").translate(_decoder(r))
+    for k, g in zip(at, text.split("\n")):
+        if g != words[k]:
+            out[k] = g
+    return out
+
+
 def _forms(batches):
-    every, far = list(range(len(CHAINS))), [k for k, c in enumerate(CHAINS) if c[0] == "utf-8"]
+    far = {k for k, c in enumerate(CHAINS) if c[0] == "utf-8"}
     for b in batches:
-        out = []
-        for w, df in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if suspect(w):
-                continue
-            hw, seen = None, set()
-            # scripts that only Unicode writes skip the chains of other writers
-            for k in far if all(0x900 <= ord(c) < 0xE00 for c in w) else every:
-                g = garble(w, k)
-                if g is not None and g not in seen:
-                    seen.add(g)
-                    hw = hash64(w) if hw is None else hw
-                    out.append((hash64(g), k, df, hw, len(w)))
-        cols = list(zip(*out)) if out else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=["hg", "chain", "w_df", "hw", "w_len"])
+        words, df = [], []
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if "\n" not in w and not suspect(w):
+                words.append(w), df.append(n)
+        # scripts that only Unicode writes skip the chains of other writers
+        near = [k for k, w in enumerate(words) if not all(0x900 <= ord(c) < 0xE00 for c in w)]
+        near_words, written = [words[j] for j in near], {}
+        at, chain, form = [], [], []
+        for k in range(len(CHAINS)):
+            some = range(len(words)) if k in far else near
+            got = garbled_lines(words if k in far else near_words, k, written)
+            hit = [(j, hash64(g)) for j, g in zip(some, got) if g is not None]
+            at += [j for j, _ in hit]
+            form += [h for _, h in hit]
+            chain += [k] * len(hit)
+        at, chain, form = np.array(at, np.int64), np.array(chain, np.int32), np.array(form, np.int64)
+        # of chains that leave the same form the first one counts
+        order = np.lexsort((chain, form, at))
+        at, chain, form = at[order], chain[order], form[order]
+        first = np.ones(len(at), bool)
+        first[1:] = (at[1:] != at[:-1]) | (form[1:] != form[:-1])
+        at, chain, form = at[first], chain[first], form[first]
+        own, size = np.array([hash64(w) for w in words], np.int64), np.array([len(w) for w in words], np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(form), pa.array(chain), pa.array(np.array(df, np.int64)[at]), pa.array(own[at]), pa.array(size[at])], names=["hg", "chain", "w_df", "hw", "w_len"])
 
 
 def _verified(batches):
@@ -222,7 +272,9 @@ def matches(tokens: DataFrame) -> DataFrame:
     word, the most frequent one. level 2: the word alone shows it, 1: so does its frequency or chain, 0: another word of
     the document must show the chain; such a token comes with each of its chains."""
     vocabulary = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("h", F.xxhash64("token")), "p9")
-    forms = arrow_map(vocabulary.select("token", "df"), _forms, "hg long, chain int, w_df long, hw long, w_len int")
+    # the words' work is even, however few files hold them
+    spread = vocabulary.select("token", "df").repartition("token")
+    forms = arrow_map(spread, _forms, "hg long, chain int, w_df long, hw long, w_len int")
     joined = forms.join(vocabulary.select("token", "df", F.col("h").alias("hg")), "hg")
     # a chain that keeps to one byte a letter may turn one word into another: the rarer is the garbled one
     whole = (F.col("w_len") > 1) | F.col("token").rlike(r"^[^\x00-\x7f]+$")
