@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexmill.llm.tokens import count
 from lexmill.session import materialise
@@ -36,42 +37,37 @@ def water_fill(sizes: dict[str, int], shares: dict[str, float], caps: dict[str,
     return want
 
 
-def plan(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, tokenizer: str | None = None, most_sources: int = 100_000) -> tuple[DataFrame, list[tuple]]:
-    """(records with their place and size, the plan's rows by source). Sources and their bins are aggregated before
-    they reach the driver: BINS rows a target source, refused above most_sources sources."""
+PLAN = "source string, target_share double, max_repeat int, records long, tokens long, wanted double, whole int, part double"
+#: A record's place is below this.
+PLACES = 1 << 30
+
+
+def plan(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, tokenizer: str | None = None, most_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """(records with their place and size, the plan: a row a source). The driver sees one row a target source, refused
+    above most_sources; where each source's fraction is cut is found by a histogram of BINS bins a source."""
     goals = [(r.source, float(r.target_share or 0), int(r.max_repeat or 0)) for r in targets.where("source is not null").limit(most_sources + 1).collect()]
     if len(goals) > most_sources:
         raise ValueError("more target sources than most_sources")
     records = documents.select("doc_id", "source", "text").where("source is not null")
-    sized = materialise(count(records, keep=("doc_id", "source"), tokenizer=tokenizer).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30))), "p8")
+    sized = materialise(count(records, keep=("doc_id", "source"), tokenizer=tokenizer).withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(PLACES))), "p8")
     of_targets = sized.join(targets.select("source").where("source is not null").distinct(), "source", "left_semi")
-    bins = of_targets.groupBy("source", F.floor(F.col("place") / ((1 << 30) // BINS)).alias("bin")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("records")).collect()
-    by: dict[str, dict[int, int]] = {}
-    records_of: dict[str, int] = {}
-    for r in bins:
-        by.setdefault(r.source, {})[r.bin] = r.n
-        records_of[r.source] = records_of.get(r.source, 0) + r.records
-    sizes = {s: sum(b.values()) for s, b in by.items()}
+    bins = materialise(of_targets.groupBy("source", F.floor(F.col("place") / (PLACES // BINS)).alias("bin")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("records")), "p8b")
+    sizes_of = {r.source: (int(r.n), int(r.records)) for r in bins.groupBy("source").agg(F.sum("n").alias("n"), F.sum("records").alias("records")).collect()}
+    sizes = {s: n for s, (n, _) in sizes_of.items()}
     shares, caps = {s: w for s, w, _ in goals}, {s: c for s, _, c in goals}
     want = water_fill(sizes, shares, caps, total if total is not None else sum(sizes.get(s, 0) for s in shares))
     rows = []
     for s in shares:
         size = sizes.get(s, 0)
-        times = want[s] / size if size else 0.0
-        whole = min(int(times + 1e-9), caps[s])
-        part, cut, seen = max(0.0, want[s] - whole * size), 0, 0
-        if part > 0:
-            for b in range(BINS):  # the bin in which the fraction is reached, and linearly the place in it
-                n = by[s].get(b, 0)
-                if n and seen + n >= part:
-                    cut = int((b + (part - seen) / n) * ((1 << 30) // BINS))
-                    break
-                seen += n
-        rows.append((s, shares[s], caps[s], records_of.get(s, 0), size, float(want[s]), whole, cut))
-    return of_targets, rows
-
-
-PLAN = "source string, target_share double, max_repeat int, records long, tokens long, wanted double, whole int, cut long"
+        whole = min(int(want[s] / size + 1e-9), caps[s]) if size else 0
+        rows.append((s, shares[s], caps[s], sizes_of.get(s, (0, 0))[1], size, float(want[s]), whole, float(max(0.0, want[s] - whole * size))))
+    by_source = documents.sparkSession.createDataFrame(rows, PLAN)
+    # the bin in which the fraction is reached, and linearly the place in it
+    so_far = Window.partitionBy("source").orderBy("bin")
+    run = bins.join(F.broadcast(by_source.select("source", "part")), "source").withColumn("before", F.sum("n").over(so_far) - F.col("n"))
+    at = ((F.col("bin") + (F.col("part") - F.col("before")) / F.col("n")) * (PLACES // BINS)).cast("long")
+    cuts = run.where("n > 0 and before < part and before + n >= part").groupBy("source").agg(F.min(at).alias("cut"))
+    return of_targets, materialise(by_source.join(cuts, "source", "left").withColumn("cut", F.coalesce("cut", F.lit(0))), "p8p")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, tokenizer: str | None = None) -> DataFrame:
@@ -81,16 +77,15 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     their source; repeated doc_ids are drawn alike; no target or no record gives an empty mixture. `total` is the
     mixture's size in tokens, without it that of all records of target sources.
     """
-    sized, rows = plan(documents, targets, total, seed, tokenizer)
-    by_source = documents.sparkSession.createDataFrame(rows, PLAN).select("source", "whole", "cut")
+    sized, p = plan(documents, targets, total, seed, tokenizer)
+    by_source = p.select("source", "whole", "cut")
     copies = (F.col("whole") + (F.col("place") < F.col("cut")).cast("int")).alias("copies")
     return sized.join(F.broadcast(by_source), "source").select("doc_id", "source", "n_tokens", copies).where("copies > 0")
 
 
 def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, tokenizer: str | None = None) -> DataFrame:
     """One row a target source: what was asked and what was reached."""
-    sized, rows = plan(documents, targets, total, seed, tokenizer)
-    p = documents.sparkSession.createDataFrame(rows, PLAN)
+    sized, p = plan(documents, targets, total, seed, tokenizer)
     copies = F.col("whole") + (F.col("place") < F.col("cut")).cast("int")
     used = sized.join(F.broadcast(p), "source").groupBy("source").agg(F.sum(copies * F.col("n_tokens")).alias("used_tokens"), F.max(copies).alias("most_repeats"))
     joined = p.join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
