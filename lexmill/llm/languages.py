@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.base import arrow_map, ranges
@@ -298,26 +298,59 @@ def fit(rows: list[tuple[str, str]], seed: int = 5, rounds: int = 40) -> Tagger:
     return t
 
 
+def code_column(label: Column) -> Column:
+    """code_of as an expression, for labels that name one of LANGS; null for all others."""
+    known = F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair])
+    name = F.lower(F.trim(label))
+    return F.coalesce(known[name], known[F.split(name, r"[-_ (]")[0]])
+
+
 def labelled(df: DataFrame, text_col: str = "text", label_col: str = "lang_label", id_col: str = "ord", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """A bounded sample of labelled rows: about `rows` of each language, drawn by a hash of the id."""
-    labels = {r[0]: r[1] for r in df.groupBy(label_col).count().collect() if r[0] is not None}
-    by: dict[str, list[str]] = {}
-    for name in labels:
-        c = code_of(name)
-        if c in INDEX:
-            by.setdefault(c, []).append(name)
-    if not by:
+    coded = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), code_column(F.col(label_col).cast("string")).alias("_code"))
+    counts = {r[0]: r[1] for r in coded.where("_code is not null").groupBy("_code").count().collect()}  # at most a row a language
+    if not counts:
         return []
-    share = F.lit(0.0)
-    for c, names in by.items():
-        share = F.when(F.col(label_col).isin(names), rows / max(1, sum(labels[x] for x in names))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1_000_003)) / 1_000_003.0
-    got = df.where(F.col(text_col).isNotNull() & (place < share)).select(label_col, text_col).limit(3 * rows * len(LANGS)).collect()
-    return sorted((code_of(r[0]), r[1]) for r in got)
+    share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, rows / n)])[F.col("_code")]
+    place = F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_003)) / 1_000_003.0
+    got = coded.where("_code is not null").where(F.col("_text").isNotNull() & (place < share)).select("_code", "_text").limit(3 * rows * len(LANGS)).collect()
+    return sorted((r[0], r[1]) for r in got)
+
+
+#: Taggers fitted in this session, by the plan of the table they were fitted on; the last few.
+_FITTED: dict[tuple, Tagger] = {}
 
 
 def train(df: DataFrame, text_col: str = "text", label_col: str = "lang_label", id_col: str = "ord") -> Tagger:
-    return fit(labelled(df, text_col, label_col, id_col))
+    """A tagger fitted on a table's sample; one table of files gives it once a session."""
+    files = df._jdf.inputFiles()  # stays in the JVM: a large table has many
+    if not len(files):
+        return fit(labelled(df, text_col, label_col, id_col))
+    key = (df.sparkSession.sparkContext.applicationId, df.select(id_col, text_col, label_col).semanticHash(), len(files), files[0])
+    if key not in _FITTED:
+        while len(_FITTED) > 3:
+            _FITTED.pop(next(iter(_FITTED)))
+        _FITTED[key] = fit(labelled(df, text_col, label_col, id_col))
+    return _FITTED[key]
+
+
+def save(tagger: Tagger, spark: SparkSession, path: str) -> None:
+    """The model as a table of one row a feature, and its transitions and start scores under the names of languages."""
+    rows = [("feature", f, [float(x) for x in tagger.weights[k]]) for f, k in tagger.feature.items()]
+    rows += [("transition", c, [float(x) for x in tagger.transitions[k]]) for c, k in INDEX.items()] + [("start", "", [float(x) for x in tagger.start])]
+    spark.createDataFrame(rows, "part string, name string, weights array<float>").write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, most_features: int = 2_000_000) -> Tagger:
+    """A saved model; its size is bounded by the sample it was fitted on, and refused above most_features."""
+    rows = spark.read.parquet(path).limit(most_features + 100).collect()
+    if len(rows) > most_features:
+        raise ValueError("more features than most_features")
+    names = ["", *sorted(r.name for r in rows if r.part == "feature" and r.name)]
+    of = {(r.part, r.name): r.weights for r in rows}
+    t = Tagger({f: k for k, f in enumerate(names)}, np.array([of["feature", f] for f in names], np.float32), np.array([of["transition", c] for c in LANGS], np.float32), np.array(of["start", ""], np.float32))
+    t.reset()
+    return t
 
 
 def tag_texts(tagger: Tagger, texts: list[str | None]):
