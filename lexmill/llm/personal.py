@@ -34,8 +34,10 @@ W = r"[^\W\d_](?:[^\W_]|['’\-](?=[^\W\d_])|[ऀ-ॣ०-ൿ̀-ͯ])*"
 W_FAST = re.compile(r"[^\W\d_](?:[^\W_]++|['’\-](?=[^\W\d_])|[ऀ-ॣ०-ൿ̀-ͯ]++)*+")
 FAMILY = re.compile(rf"(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
 TWO = re.compile(rf"[\s\"':=]*({W})(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
-BEFORE_NAME = ("my name is", "name=", "name:", "applicant:", "the witness,", "dr.", "mr.", "mrs.", "ms.", "prof.", "\"contact\":", "attention", "the tenant is", "ask for", "you can reach", "it was", "me llamo", "ich heiße", "je m'appelle", "je m’appelle", "меня зовут", "заявитель:", "solicitante:", "antragsteller:", "demandeur :", "demandeur:", "मेरा नाम", "आवेदक:", "herr", "frau", "signed by", "meu nome é", "requerente:")
-AFTER_NAME = re.compile(r"\s*(?:will collect|who paid|signed|\(\(?\+?\d|\|\s*\+?\(?\d|\"?,? *\"tel\"|और मेरा|है|का पता|से .{0,24}बात|and my|und wohne|y vivo|mon adresse|, mon adresse|, мой адрес|; |, gave|at the counter|addr=|, documento|, ausweis|, num|, номер|, आधार|, पैन|, पहचान|, पासपोर्ट)", re.I)
+#: A second family name, also after a particle; not a field's label.
+MORE_FAMILY = re.compile(rf"[ \t](?:(?:de|da|do|dos|das|del|la|van|von|der|den|e|y)[ \t]){{0,2}}({W})(?![\w:=@])")
+BEFORE_NAME = ("my name is", "name=", "name:", "applicant:", "dr.", "mr.", "mrs.", "ms.", "prof.", "\"contact\":", "attention", "ask for", "you can reach", "it was", "me llamo", "ich heiße", "je m'appelle", "je m’appelle", "меня зовут", "заявитель:", "solicitante:", "antragsteller:", "demandeur :", "demandeur:", "मेरा नाम", "आवेदक:", "herr", "frau", "signed by", "meu nome é", "requerente:")
+AFTER_NAME = re.compile(r"\s*(?:signed|\(\(?\+?\d|\|\s*\+?\(?\d|\"?,? *\"tel\"|और मेरा|है|का पता|से .{0,24}बात|and my|und wohne|y vivo|mon adresse|, mon adresse|, мой адрес|; |addr=|, documento|, ausweis|, num|, номер|, आधार|, पैन|, पहचान|, पासपोर्ट)", re.I)
 #: What follows a name in scripts without letter case, where no capital shows one: beginnings, and the whole context.
 AFTER_CASELESS = (" का पता", " है और मेरा", " से ")
 AFTER_CASELESS_WHOLE = re.compile(r" (?:का पता|है और मेरा|से [^\n]{0,24}बात)")
@@ -64,9 +66,9 @@ PLACES = {w: k for k, ws in enumerate((
     ("मकान",),
 )) for w in ws}
 NEAR_PHONE = re.compile(r"(?:phone|tel\b|telephone|mobile|call|reach|(?:old|new|my|phone|contact|mobile) number|fax|whatsapp|appelez|téléphone|llame|teléfono|rufen|telefon|звоните|телефон|फ़ोन|फोन|मोबाइल|telefone|ligue)[^\n;]{0,45}$")
-AFTER_PHONE = re.compile(r"^[)\s,|\"]*(?:will collect|after six|पर बात|है|an\b|new number|the tenant|\|)")
+AFTER_PHONE = re.compile(r"^[)\s,|\"]*(?:पर बात|है|an\b|\|)")
 NEAR_ID = re.compile(r"(?:aadhaar|aadhar|\bssn\b|\bpan\b|passport|social security|identity|national id|\bid (?:no|number|card)|tax (?:id|no|number)|\btin\b|ausweis\w*|steuer\w*|identidad|\bdni\b|\bnif\b|identité|паспорт\w*|\bинн\b|снилс|आधार|पैन|पासपोर्ट|पहचान|contribuinte|\bcpf\b)[^\n;,]{0,22}$")
-NEAR_OTHER = re.compile(r"(?:order|batch|catalogue|catalog|isbn|version|constant|value|probe|checksum|serial|invoice|ticket|tracking|model|file|machine|build|release|milestone|page|step|install\w*|rounded|under|answered|from|bestell\w*|pedido|commande|заказ\w*|ऑर्डर)[^.;\n]{0,22}$")
+NEAR_OTHER = re.compile(r"(?:order|batch|catalogue|catalog|isbn|version|constant|value|serial|invoice|ticket|tracking|model|file|machine|build|release|milestone|page|step|install\w*|rounded|under|answered|from|bestell\w*|pedido|commande|заказ\w*|ऑर्डर)[^.;\n]{0,22}$")
 NEAR_ADDRESS = re.compile(r"(?:live at|lives at|address|addr=|parcel to|send|shop is at|deliver\w* to|wohn\w*|anschrift|vivo en|dirección|adresse|habite|адрес|живу|पता|पत्र|moro|endereço)[^\n]{0,30}$")
 PHONE_FORMS = re.compile(r"\+\d{1,3}[ .\-]?\(?\d{1,5}\)?(?:[ .\-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[-. ]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|0\d(?: \d{2}){4}|0\d{2,5}[ /\-]\d{3,8}(?: \d{2,4})?")
 ID_FORMS = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}|\d{3}-\d{2}-\d{4}|[A-Za-z]{5}\d{4}[A-Za-z]|[A-Za-z]\d{7,8}")
@@ -255,7 +257,11 @@ def candidates(t: str, lexicon: Lexicon) -> list[tuple[str, int, int, tuple, tup
     for s, e, known in sorted(names.values()):
         if any(a < e and s < b for a, b in taken) or e < len(t) and t[e] in "@_":
             continue
-        out.append(("name", s, e, _name_votes(t, low, s, e, known, lexicon), _name_shape(t, low, s, e, lexicon)))
+        more = MORE_FAMILY.match(t, e)
+        votes, shape = _name_votes(t, low, s, e, known, lexicon), _name_shape(t, low, s, e, lexicon)
+        if more and more.group(1).lower() not in lexicon.common and more.group(1).lower() not in lexicon.given and not _caseless(more.group(1)) and more.group(1)[0].isupper() and _case(more.group(1)) == _case(t[s:e].split()[-1]):
+            e = more.end()  # a family name of two words
+        out.append(("name", s, e, votes, shape))
         taken.append((s, e))
     return out
 
