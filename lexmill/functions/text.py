@@ -159,7 +159,8 @@ def byte_name(b: Column) -> Column:
 
 
 def fixed(c: Column, digits: int) -> Column:
-    return F.format_number(c, digits)
+    """A number at a fixed number of places; exact ties go to the even digit."""
+    return F.bround(c.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def path_quoted(c: Column) -> Column:

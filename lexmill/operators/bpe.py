@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.session import materialise
 
 SPACE = "▁"
 BYTES = [f"<0x{b:02X}>" for b in range(256)]
@@ -139,21 +140,7 @@ class Encoder:
         got = self.known.get(word)
         if got is not None:
             return got
-        s = list(word)
-        while len(s) > 1:
-            best = min(((self.rank.get(p, 1 << 60), p) for p in zip(s, s[1:])), key=lambda x: x[0])
-            if best[0] == 1 << 60:
-                break
-            a, b = best[1]
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
-            s = out
+        s = self.merged(word)
         got = []
         for t in s:
             got += [t] if t in self.id else [self.unknown] if self.unknown else [BYTES[b] for b in t.encode("utf-8")]
@@ -161,6 +148,31 @@ class Encoder:
             self.known[word] = got
         return got
 
+    def merged(self, word: str) -> list[str]:
+        """The word's pieces: a queue of the pairs that have a rank, over a chain of pieces; of equal ranks the leftmost
+        first. A pair is stale if one of its pieces has been merged since. The work grows with n log n."""
+        piece: list[str | None] = list(word)
+        n = len(piece)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = self.rank.get
+        queue = [(r, k, piece[k], piece[k + 1]) for k in range(n - 1) if (r := rank((piece[k], piece[k + 1]))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, k, left, right = heapq.heappop(queue)
+            j = after[k] if piece[k] == left else n
+            if j >= n or piece[j] != right:
+                continue
+            piece[k], piece[j] = left + right, None
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+                if (r := rank((piece[k], piece[after[k]]))) is not None:
+                    heapq.heappush(queue, (r, k, piece[k], piece[after[k]]))
+            h = before[k]
+            if h >= 0 and (r := rank((piece[h], piece[k]))) is not None:
+                heapq.heappush(queue, (r, h, piece[h], piece[k]))
+        return [t for t in piece if t is not None]
+
     def decode(self, tokens: list[str]) -> str:
         """Byte tokens joined as UTF-8 (an invalid run gives one replacement sign a byte), signs as spaces, the first
         space dropped."""
@@ -185,13 +197,37 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def train(corpus: DataFrame, weights: DataFrame | None, vocab_size: int, pretokens=space_pretokens, specials: list[str] = BYTES) -> Encoder:
+#: Distinct words that learning takes at most; merges depend on one another, so they are learnt in one place.
+MOST_WORDS = 5_000_000
+
+
+def bounded_words(counts: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
+    """The counts, written once, if they are no more than most_words; else an error before any word leaves the cluster."""
+    counts = materialise(counts, "words")
+    n = counts.count()
+    if n > most_words:
+        raise ValueError(f"{n} distinct words, more than {most_words}")
+    return counts
+
+
+def train(corpus: DataFrame, weights: DataFrame | None, vocab_size: int, pretokens=space_pretokens, specials: list[str] = BYTES, most_words: int = MOST_WORDS) -> Encoder:
     """An encoder from weighted word counts; the distinct words, not the corpus, come to the driver."""
-    counts = [(r.word, r.n) for r in word_counts(corpus, weights, pretokens).orderBy("word").toLocalIterator()]
+    counts = [(r.word, r.n) for r in bounded_words(word_counts(corpus, weights, pretokens), most_words).orderBy("word").toLocalIterator()]
     tokens, merges = learn(counts, vocab_size, specials)
     return Encoder(tokens, merges, "[UNK]" if "[UNK]" in specials else None)
 
 
+def best_merges(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(word, at, left, right, rank): the first merge of each word, i.e. its adjacent pair of the lowest rank, the leftmost
+    of equal ones, by one join of pairs with the merge table (left, right, rank). Words without a ranked pair are left
+    out."""
+    cs = F.filter(F.split("word", ""), lambda x: x != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.struct(i.alias("at"), F.element_at("c", i).alias("left"), F.element_at("c", i + 1).alias("right")))
+    d = counts.select("word", cs.alias("c")).where("size(c) > 1").select("word", F.inline(pairs))
+    best = d.join(ranks, ["left", "right"]).groupBy("word").agg(F.min(F.struct("rank", "at", "left", "right")).alias("m"))
+    return best.select("word", "m.at", "m.left", "m.right", "m.rank")
+
+
 def vocabulary(spark, encoder: Encoder) -> DataFrame:
     """(id, token, is_byte)."""
     return spark.createDataFrame([(k, t, t in set(BYTES)) for k, t in enumerate(encoder.tokens)], "id int, token string, is_byte boolean")
@@ -224,16 +260,15 @@ def measured(corpus: DataFrame, encoder: Encoder, pretokens=space_pretokens) ->
     return e.select("lang", F.size("tokens").cast("bigint").alias("tokens"), T.units(F.col("text")).alias("wordish_units"), F.size(F.filter("tokens", lambda t: t == "[UNK]")).cast("bigint").alias("unk"))
 
 
-def sweep(corpus: DataFrame, grid: DataFrame, vocab_size: int, most_words: int = 5_000_000) -> DataFrame:
+def sweep(corpus: DataFrame, grid: DataFrame, vocab_size: int, most_words: int = MOST_WORDS) -> DataFrame:
     """(config, lang, tokens, wordish_units, ratio): a tokenizer learnt for each row of weights (a column a language),
     configurations in parallel. Word counts by language are shared by all, whole texts' word counts measure them."""
     langs = [c for c in grid.columns if c != "config"]
     texts = corpus.where(F.col("lang").isin(langs) & F.col("text").isNotNull())
     by_line = texts.select("lang", F.explode(lines(F.col("text"))).alias("text")).select("lang", F.explode(space_pretokens(F.col("text"))).alias("word"))
-    count = lambda d: [(r.lang, r.word, r.n) for r in d.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "word").toLocalIterator()]
+    counted = lambda d: bounded_words(d.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), most_words)
+    count = lambda d: [(r.lang, r.word, r.n) for r in counted(d).orderBy("lang", "word").toLocalIterator()]
     learnt, whole = count(by_line), count(texts.select("lang", F.explode(space_pretokens(F.col("text"))).alias("word")))
-    if len(learnt) + len(whole) > most_words:
-        raise ValueError("more distinct words than most_words")
     units = {r.lang: r.u for r in texts.groupBy("lang").agg(F.sum(T.units(F.col("text"))).alias("u")).collect()}
     shared = corpus.sparkSession.sparkContext.broadcast((learnt, whole, units))
 
@@ -251,5 +286,6 @@ def sweep(corpus: DataFrame, grid: DataFrame, vocab_size: int, most_words: int =
             tokens[c] += n * len(e.word(w))
         return pd.DataFrame([(int(pdf["config"].iloc[0]), c, tokens[c], u.get(c, 0)) for c in langs], columns=["config", "lang", "tokens", "wordish_units"])
 
-    got = grid.groupBy("config").applyInPandas(lambda pdf: run(None, pdf), "config long, lang string, tokens long, wordish_units long")
+    spread = grid.repartition(max(1, grid.count()), "config")  # a configuration is a task's worth of work
+    got = spread.groupBy("config").applyInPandas(lambda pdf: run(None, pdf), "config long, lang string, tokens long, wordish_units long")
     return got.withColumn("ratio", F.try_divide(F.col("tokens").cast("double"), F.col("wordish_units")))

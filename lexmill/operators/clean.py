@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.session import materialise
 
 MIN_CHARS, MAX_CHARS, MIN_ASCII = 200, 20_000, 0.90
 
@@ -38,15 +39,29 @@ def keep_quality(flagged: DataFrame) -> DataFrame:
     return flagged.where(~F.col("malformed") & ~F.col("short") & ~F.col("long"))
 
 
-def keep_first(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """The row of the smallest ord of each equal text; ord is unique.
+def _digest(c: Column) -> Column:
+    return F.unhex(F.sha2(c, 256))
+
+
+def first_of(keyed: DataFrame) -> DataFrame:
+    """The row of the smallest ord of each _digest; ord is unique.
 
     Only digests are shuffled: groups of more than one row are found with partial aggregation, and the texts meet that
     smaller table, which AQE broadcasts where its measured size allows and otherwise joins with skew handling.
     """
-    keyed = df.withColumn("_digest", T.pinned(F.unhex(F.sha2(key if key is not None else F.col("text"), 256))))
     again = keyed.groupBy("_digest").agg(F.min("ord").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return keyed.join(again, "_digest", "left").where("_first is null or _first = ord").select(*df.columns)
+    return keyed.join(again, "_digest", "left").where("_first is null or _first = ord").drop("_first")
+
+
+def keep_first(df: DataFrame, key: Column | None = None) -> DataFrame:
+    """The row of the smallest ord of each equal text, or of each equal key."""
+    return first_of(df.withColumn("_digest", T.pinned(_digest(key if key is not None else F.col("text"))))).select(*df.columns)
+
+
+def sound_rows(df: DataFrame) -> DataFrame:
+    """(ord, text, _digest) of the rows that pass the quality rules, normalised and written once: what follows reads
+    digests alone, or texts without any rule being applied again."""
+    return materialise(keep_quality(flags(df)).select("ord", "text", _digest(F.col("text")).alias("_digest")), "sound")
 
 
 def survivor_flags(df: DataFrame) -> DataFrame:
@@ -60,7 +75,7 @@ def survivor_flags(df: DataFrame) -> DataFrame:
 
 def cleaned(df: DataFrame) -> DataFrame:
     """(ord, text) of the rows that survive."""
-    return keep_first(keep_quality(flags(df))).select("ord", "text")
+    return first_of(sound_rows(df)).select("ord", "text")
 
 
 def count_if(c: str) -> Column:
@@ -84,18 +99,19 @@ def ordered_hash(df: DataFrame, order: str = "ord", text: str = "text") -> DataF
 
 def manifest(df: DataFrame) -> DataFrame:
     """One row with every stage's counts: waterfall drops, non-exclusive mismatches, duplicates, flags, lengths."""
-    flagged = flags(df)
-    sound = ~F.col("malformed") & ~F.col("short") & ~F.col("long")
+    text, sound = F.col("text"), ~F.col("malformed") & ~F.col("short") & ~F.col("long")
+    digest = lambda c: F.when(sound, _digest(c))
+    # every rule is applied once; the counts then read narrow columns, the survivors' flags the texts
+    flagged = materialise(flags(df).withColumns({"_digest": digest(text), "_spaced": digest(T.collapse_space(text))}), "flags")
     before = flagged.agg(
         F.count(F.lit(1)).alias("raw_count"), count_if("had_controls").alias("control_rows"), count_if("had_wide_tags").alias("wide_tag_rows"),
         count_if("foreign").alias("foreign_rows"), F.count_if(F.col("foreign") & F.col("translation")).alias("foreign_translation_rows"),
         count_if("tag_mismatch").alias("tag_mismatch_rows"), count_if("think_mismatch").alias("think_mismatch_rows"), F.count_if(F.col("no_assistant") | F.col("empty_assistant")).alias("empty_assistant_rows"),
         count_if("malformed").alias("malformed_dropped"), F.count_if(F.col("short") & ~F.col("malformed")).alias("short_dropped"),
         F.count_if(F.col("long") & ~F.col("malformed") & ~F.col("short")).alias("long_dropped"),
-        F.count_if(sound).alias("rows_before_dedup"), F.count_distinct(F.when(sound, F.unhex(F.sha2(T.collapse_space(F.col("text")), 256)))).alias("distinct_spaced"),
+        F.count_if(sound).alias("rows_before_dedup"), F.count_distinct("_spaced").alias("distinct_spaced"),
     )
-    good = keep_quality(flagged)
-    final = survivor_flags(keep_first(good))
+    final = survivor_flags(first_of(keep_quality(flagged).select("ord", "text", "_digest")))
     after = final.agg(
         F.count(F.lit(1)).alias("final_count"), count_if("email").alias("email_rows"), count_if("phone").alias("phone_rows"), count_if("real_email").alias("real_email_rows"),
         count_if("inference").alias("inference_rows"), count_if("choice").alias("choice_rows"), F.round(F.avg("chars"), 1).alias("mean_chars"), F.median("chars").cast("bigint").alias("median_chars"),

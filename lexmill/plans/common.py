@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexmill.functions import text as T
 from lexmill.operators import clean
 from lexmill.session import read_spread
 
@@ -13,10 +14,10 @@ KEYS = {"transcripts": "ord", "documents": "doc_id"}
 #: White space for RE2.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
-UNIT = r"[\p{L}\p{M}\p{N}]+"
-EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
-PHONE = r"(?:^|[^\p{L}\p{N}_])(\p{Nd}{3}[-.]\p{Nd}{3}[-.]\p{Nd}{4})(?:$|[^\p{L}\p{N}_])"
-DOMAINS = "('example.com','example.org','test.com','acme.com','acme.io','globex.com','initech.org','wayne.co','hooli.com','bar.com','ex.com','mail.net','domain.org','sub.domain.com','site.org','github.com')"
+UNIT, EMAIL = T.UNIT, T.EMAIL
+#: The same shape without a look-ahead, which RE2 lacks.
+PHONE = T.PHONE.replace(r"(?![\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])")
+DOMAINS = f"({', '.join(repr(x) for x in T.PLACEHOLDER_DOMAINS)})"
 NORM = r"regexp_replace(replace(replace(nfc_normalize(text),'＜think＞','<think>'),'＜/think＞','</think>'),'[\x00-\x08\x0b\x0c\x0e-\x1f]','','g')"
 
 

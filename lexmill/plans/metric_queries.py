@@ -12,8 +12,8 @@ from lexmill.plans.common import UNIT, WS, Registry, table
 from lexmill.sources import readers, sinks
 
 R = Registry()
-#: Vocabulary sizes of the queries that learn, beside the full one of the library.
-VOCAB = 800
+#: Fixed value: the published vocabulary size.
+VOCAB = 10_000
 
 LATEST = """WITH latest AS (SELECT * FROM sweep_metrics WHERE ratio IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id, lang ORDER BY logged_at DESC, tokens DESC, wordish_units DESC, unk DESC, weight DESC, variant DESC, ratio DESC)=1)"""
 
@@ -76,11 +76,6 @@ def _(s, d):
     return table(s, d, "corpus_meta").join(c, ["lang", "variant"]).select("lang", "variant", (F.col("chars") == F.col("c")).alias("chars_agree"), (F.col("wordish_units") == F.col("u")).alias("units_agree")).distinct()
 
 
-@R.add("agg17_gate", f"SELECT bool_and(regexp_replace(regexp_replace(sample,'{WS}+',' ','g'),'{WS}','','g')=regexp_replace(sample,'{WS}','','g')) AS passed FROM gate_samples")
-def _(s, d):
-    return metrics.gate(table(s, d, "gate_samples").select(F.col("sample").alias("before"), T.collapse_space(F.col("sample")).alias("after")))
-
-
 PRE = "CASE WHEN text='' THEN [] ELSE regexp_extract_all(CASE WHEN starts_with(replace(text,' ','▁'),'▁') THEN replace(text,' ','▁') ELSE '▁'||replace(text,' ','▁') END,'▁[^▁]*') END"
 
 
@@ -89,6 +84,24 @@ def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", bpe.space_pretokens(F.col("text")).alias("p")).select("doc_id", F.size("p").cast("bigint").alias("n"), F.md5(F.array_join("p", "\x01")).alias("digest"))
 
 
+#: A sample after it was cut into pre-tokens and put together again.
+BACK = f"regexp_replace(replace(array_to_string({PRE},''),'▁',' '),'^ ','')"
+
+
+@R.add("agg17_gate", f"SELECT text AS sample, md5({BACK}) AS back, regexp_replace({BACK},'{WS}','','g')=regexp_replace(text,'{WS}','','g') AS same FROM (SELECT sample AS text FROM gate_samples UNION ALL SELECT text FROM corpus)")
+def _(s, d):
+    texts = table(s, d, "gate_samples").select(F.col("sample").alias("text")).unionByName(table(s, d, "corpus").select("text"))
+    back = F.regexp_replace(F.replace(F.array_join(bpe.space_pretokens(F.col("text")), ""), F.lit(bpe.SPACE), F.lit(" ")), "^ ", "")
+    return texts.select(F.col("text").alias("sample"), F.md5(back).alias("back"), (T.visible(back) == T.visible(F.col("text"))).alias("same"))
+
+
+@R.add("agg17_all_pass", f"SELECT bool_and(regexp_replace({BACK},'{WS}','','g')=regexp_replace(text,'{WS}','','g')) AS passed FROM documents WHERE text IS NOT NULL AND NOT contains(text,'▁')")
+def _(s, d):
+    texts = table(s, d, "documents").where("text is not null and not contains(text, '▁')")
+    back = F.regexp_replace(F.replace(F.array_join(bpe.space_pretokens(F.col("text")), ""), F.lit(bpe.SPACE), F.lit(" ")), "^ ", "")
+    return metrics.gate(texts.select(F.col("text").alias("before"), back.alias("after")))
+
+
 @R.add("t1_word_pretokens", rf"SELECT doc_id, CAST(len(regexp_extract_all(text,'[\p{{L}}\p{{N}}_]+')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
 def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(bpe.word_pretokens(F.col("text")), lambda w: w.rlike(r"^[\p{L}\p{N}_]"))).cast("bigint").alias("n"))
@@ -114,6 +127,18 @@ def _(s, d):
     return got.select(F.col("left").alias("left_"), F.col("right").alias("right_"), "n")
 
 
+RANKS = ", p AS (SELECT n, string_split(word,'') AS c FROM counts), e AS (SELECT n, c, unnest(range(1,len(c))) AS i FROM p WHERE len(c)>1), pc AS (SELECT c[i] AS l, c[i+1] AS r, sum(n) AS n FROM e GROUP BY 1,2), ranks AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l COLLATE C, r COLLATE C)-1 AS rank FROM pc QUALIFY rank<2000)"
+
+
+@R.add("jn5_srt6_best_merge", COUNTS + RANKS.replace(" COLLATE C", "") + ", w AS (SELECT word, string_split(word,'') AS c FROM counts WHERE length(word)>1), q AS (SELECT word, c, unnest(range(1,len(c))) AS at FROM w), j AS (SELECT word, at, rank FROM q JOIN ranks ON l=c[at] AND r=c[at+1]) SELECT word, CAST(arg_min(at, (rank, at)) AS BIGINT) AS at, CAST(min(rank) AS BIGINT) AS rank FROM j GROUP BY word")
+def _(s, d):
+    # the most frequent pairs as a merge table, and each word's first merge by it
+    counts = bpe.word_counts(table(s, d, "corpus"), table(s, d, "bpe_weights"))
+    ranked = bpe.pair_counts(counts).select("left", "right", (F.row_number().over(Window.orderBy(F.desc("n"), "left", "right")) - 1).alias("rank"))  # as many rows as pairs of characters
+    got = bpe.best_merges(counts, F.broadcast(ranked.where("rank < 2000")))
+    return got.select("word", F.col("at").cast("bigint").alias("at"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @R.add("set1_replication", "SELECT lang, CAST(sum(weight) AS BIGINT) AS copies FROM (SELECT lang, weight, unnest(range(weight)) AS k FROM bpe_weights WHERE weight IS NOT NULL) GROUP BY lang, weight")
 def _(s, d):
     copies = table(s, d, "bpe_weights").where("weight is not null").select("lang", "weight", F.explode(F.sequence(F.lit(1), "weight")))
@@ -163,9 +188,9 @@ def _(s, d):
 
 @R.add("t13_sweep")
 def _(s, d):
-    grid = metrics.parameter_grid(s, {"en": (2, 3), "hi": (5, 6), "te": (8, 9), "sa": (9, 9)})
+    grid = metrics.parameter_grid(s, readers.SWEEP)
     config = grid.select("*", (((F.col("en") * 100 + F.col("hi")) * 100 + F.col("te")) * 100 + F.col("sa")).cast("bigint").alias("config"))
-    return metrics.spread(bpe.sweep(table(s, d, "corpus").where("variant = 'lossless'"), config, 400), "config")
+    return metrics.spread(bpe.sweep(table(s, d, "corpus").where("variant = 'lossless'"), config, VOCAB), "config")
 
 
 ALPHABET = "SELECT CAST(row_number() OVER (ORDER BY unicode(c))-1 AS BIGINT) AS id, c AS token FROM (SELECT DISTINCT unnest(string_split(text,'')) AS c FROM corpus) WHERE c<>''"

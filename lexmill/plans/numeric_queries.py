@@ -37,9 +37,24 @@ def _(s, d):
     return s.createDataFrame([(k, i, j, float(w[i, j])) for k, (w, _) in enumerate(layers) for i in range(w.shape[0]) for j in range(w.shape[1])], "layer int, i int, j int, w double")
 
 
-@R.add("src9_rings")
+def shuffle_sql(n: int, skip: int) -> str:
+    """sh(k, xs): xs is the order of 0 to n-1 after a shuffle by the stream's draws beyond `skip`, where k is 0."""
+    return f""", sh(k, xs) AS (SELECT {n - 1}, range({n}) UNION ALL SELECT k-1, list_transform(range(1,{n + 1}), lambda p: CASE WHEN p=k+1 THEN xs[j+1] WHEN p=j+1 THEN xs[k+1] ELSE xs[p] END)
+ FROM (SELECT k, xs, CAST(floor(state/4294967296.0*(k+1)) AS BIGINT) AS j FROM sh JOIN lcg ON i={skip + n}-k WHERE k>0))"""
+
+
+#: Two points take eight draws: an angle and two pairs of normals, an angle and a pair; the odd one's first is left over.
+RINGS = stream_sql(1280 + 319, 7) + shuffle_sql(320, 1280) + """, u AS (SELECT (i-1)//8 AS m, list(state/4294967296.0 ORDER BY i) AS l FROM lcg WHERE i BETWEEN 1 AND 1280 GROUP BY 1),
+z AS (SELECT m, l, list_transform([1,3,6], lambda p: sqrt(-2*ln(greatest(l[p+1],1e-12)))) AS g, list_transform([1,3,6], lambda p: 2*pi()*l[p+2]) AS a FROM u),
+p AS (SELECT 2*m AS n, l[1] AS t, g[1]*cos(a[1]) AS z1, g[1]*sin(a[1]) AS z2, g[2]*cos(a[2]) AS z3 FROM z UNION ALL SELECT 2*m+1, l[6], g[2]*sin(a[2]), g[3]*cos(a[3]), g[3]*sin(a[3]) FROM z),
+r AS (SELECT n, t, CASE WHEN n<160 THEN 0.72+0.08*z1 ELSE 1.55+0.10*z1 END AS r, z2, z3, CAST(CASE WHEN n<160 THEN 0 ELSE 1 END AS INT) AS label FROM p),
+o AS (SELECT unnest(range(320)) AS i, unnest(xs) AS n FROM sh WHERE k=0)
+SELECT o.i, round(r*cos(2*pi()*t)+0.025*z2,6) AS x, round(r*sin(2*pi()*t)+0.025*z3,6) AS y, label FROM o JOIN r USING (n)"""
+
+
+@R.add("src9_rings", RINGS)
 def _(s, d):
-    return s.createDataFrame(numeric.ring_points(), "i long, x double, y double, label int")
+    return s.createDataFrame(numeric.ring_points(), "i long, x double, y double, label int").withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
 
 
 NOISY = stream_sql(2400, 99) + """, u AS (SELECT (i-1)//3 AS r, max(CASE WHEN i%3=1 THEN state END)/4294967296.0 AS a, max(CASE WHEN i%3=2 THEN state END)/4294967296.0 AS b, max(CASE WHEN i%3=0 THEN state END)/4294967296.0 AS c FROM lcg WHERE i>0 GROUP BY 1),
@@ -141,7 +156,7 @@ def _(s, d):
     return numeric.gap(s)
 
 
-@R.add("srt7_shuffle")
+@R.add("srt7_shuffle", stream_sql(99, 3) + shuffle_sql(100, 0) + " SELECT CAST(unnest(range(100)) AS INT) AS place, CAST(unnest(xs) AS INT) AS item FROM sh WHERE k=0")
 def _(s, d):
     order = list(range(100))
     numeric.Stream(3).shuffle(order)

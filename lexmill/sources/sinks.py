@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.bpe import BYTES, Encoder, merge_table, vocabulary
@@ -32,6 +32,14 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
     vocabulary_lines(vocab).coalesce(1).write.mode("overwrite").text(path)
 
 
+def unspecial_bytes(document: Column) -> Column:
+    """A tokenizer's document in which byte tokens are no special ones, so that decoding keeps them; the rest stays."""
+    schema = "version string, added_tokens array<struct<id: bigint, content: string, special: boolean>>"
+    x = F.from_json(document, schema)
+    tokens = F.transform(x["added_tokens"], lambda t: t.withField("special", t["special"] & ~t["content"].rlike("^<0x[0-9A-F]{2}>$")))
+    return F.to_json(x.withField("added_tokens", tokens))
+
+
 def tokenizer_json(e: Encoder) -> str:
     """One document with vocabulary and merges; byte tokens are not special, so decoding keeps them."""
     added = [{"id": e.id[b], "content": b, "special": False} for b in BYTES if b in e.id]

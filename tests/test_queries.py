@@ -46,3 +46,35 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/v").count() == 259
     (tmp_path / "a.txt").write_bytes(b"x\r\ny")
     assert readers.whole_texts(spark, f"{tmp_path}/a.txt").first().text == "x\ny"
+    (tmp_path / "m.json").write_text('[{"lang": "en",\n "chars": 3}, {"lang": "hi", "chars": null}]')
+    assert sorted(map(tuple, readers.json_files(spark, f"{tmp_path}/m.json", "lang string, chars long").collect()), key=str) == [("en", 3), ("hi", None)]
+    sinks.write_table(clean.cleaned(texts(spark, SF)), f"{tmp_path}/c")
+    kept = spark.read.parquet(f"{tmp_path}/c")
+    assert kept.columns == ["text"] and kept.count() == clean.cleaned(texts(spark, SF)).count()
+
+
+def test_tables_shared_by_all_executors(spark):
+    from types import SimpleNamespace
+
+    from lexmill import session
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(cluster)
+    step = session.materialise(spark.range(5))
+    assert step.count() == 5
+    session.release(step)
+    assert step._step not in session._WRITTEN
+
+
+def test_streams_of_several_batches(spark, tmp_path):
+    from lexmill.streaming import cleaning
+
+    # one file a batch: groups grow over batches, and the last windows are there though no watermark closes them
+    for k, day in enumerate(("01", "02", "03")):
+        rows = [(f"2024-01-{day} 10:0{m}:00", t, 1.0) for m in range(3) for t in ("a", "b")] + [(f"2024-01-0{max(1, k)} 10:30:00", "a", 5.0)]
+        spark.createDataFrame(rows, "ts string, event_type string, value double").selectExpr("cast(ts as timestamp) ts", "event_type", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    events = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e")
+    got = {(str(r.start), r.event_type): (r.n, r.total) for r in cleaning.upsert_once(cleaning.hourly(events, "10 days"), "t", ["start", "event_type"]).collect()}
+    assert len(got) == 6 and sum(n for n, _ in got.values()) == 21 and sum(x for _, x in got.values()) == 33.0

@@ -89,6 +89,42 @@ def test_decode_inverts_encode(text):
     assert "".join(got.split()) == "".join(text.split())
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abc", max_size=40))
+def test_merges_against_brute_force(word):
+    merges = [("a", "b"), ("ab", "c"), ("a", "a"), ("b", "c"), ("aa", "ab"), ("abc", "abc"), ("c", "c")]
+    e = bpe.Encoder([*bpe.BYTES, *"abc", *(a + b for a, b in merges)], merges)
+    s = list(word)
+    while ranked := [(e.rank[p], k) for k, p in enumerate(zip(s, s[1:])) if p in e.rank]:
+        k = min(ranked)[1]
+        s[k : k + 2] = [s[k] + s[k + 1]]
+    assert e.merged(word) == s
+
+
+def test_merging_long_words_takes_no_square():
+    import time
+
+    e = bpe.Encoder([*bpe.BYTES, "a", "b", "ab"], [("a", "b"), ("ab", "ab")])
+    began = time.time()
+    assert len(e.merged("ab" * 100_000)) == 50_000
+    assert time.time() - began < 10
+
+
+def test_words_beyond_the_bound_are_refused(spark):
+    with pytest.raises(ValueError, match="distinct words"):
+        bpe.train(spark.createDataFrame([("en", "a b c d")], "lang string, text string"), None, 300, most_words=2)
+
+
+def test_best_merge(spark):
+    counts = spark.createDataFrame([("abab", 2), ("xy", 1), ("cab", 1)], "word string, n long")
+    ranks = spark.createDataFrame([("a", "b", 1), ("b", "a", 0), ("c", "a", 2)], "left string, right string, rank int")
+    assert sorted((r.word, r.at, r.rank) for r in bpe.best_merges(counts, ranks).collect()) == [("abab", 2, 0), ("cab", 2, 1)]
+
+
+def test_numbers_at_fixed_places(spark):
+    assert [one(spark, x, lambda c: T.fixed(c.cast("double"), 2)) for x in ("0.125", "0.375", "2", "1.005")] == ["0.12", "0.38", "2.00", "1.00"]
+
+
 def test_invalid_bytes_give_one_sign_each():
     assert bpe.Encoder([], []).decode(["<0xE0>", "<0xA4>", "a"]) == "��a"
 
