@@ -41,6 +41,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: A word: letters, marks and digits in a row.
+WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+
+
+def _grams_sql(key: str, name: str, n: int) -> str:
+    return f"""(SELECT DISTINCT {key}, array_to_string(w[k:k+{n - 1}],' ') AS s FROM (SELECT {key}, w, unnest(range(1,len(w)-{n - 2})) AS k
+ FROM (SELECT {key}, regexp_extract_all(lower(text),'{WORD}') AS w FROM {name} WHERE text IS NOT NULL) WHERE len(w)>={n}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Problems that SQL can express; the others are tested against brute force in tests/llm."""
-    return {}
+    return {
+        "p4_found": f"SELECT DISTINCT item_id, ord FROM {_grams_sql('item_id', 'eval_items', leaks.SPAN)} JOIN {_grams_sql('ord', 'transcripts', leaks.SPAN)} USING (s)",
+    }

@@ -3,7 +3,9 @@ rows, empty tables, extra columns whose names clash."""
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import format_duplicates, garbled, languages, leaks, lookalikes, mixing, pairs, personal, tokens
 
@@ -214,6 +216,14 @@ def test_garbled_at_any_frequency(spark):
     assert found(garbled.found(documents(spark, clean + bad))) == [(k,) for k in range(n, n + len(bad))]
 
 
+def test_lines_go_through_chains_as_words_do():
+    words = ["Müller", "naïve", "читатель", "नदी", "图书馆", "“Nice”", "…", "\x85x", "ÀÉ", "한국", "ñandú"]
+    written = {}
+    for k in range(len(garbled.CHAINS)):
+        assert garbled.garbled_lines(words, k, written) == [garbled.garble(w, k) for w in words], garbled.CHAINS[k]
+    assert garbled.garbled_lines([], 0, {}) == []
+
+
 def test_hash_is_sparks(spark):
     for t in ("", "a", "naïve", "नदी" * 30):
         assert spark.createDataFrame([(t,)], "t string").selectExpr("xxhash64(t) h").first().h == garbled.hash64(t)
@@ -282,6 +292,20 @@ def test_forward_backward_against_enumeration():
         assert np.allclose(got[first : first + n], want / want.sum(axis=1, keepdims=True))
 
 
+def test_labels_as_an_expression(spark):
+    names = [None, "", "und", "mul", "EN", "eng", "en-GB", "Hindi", "zh-CN", "tam", "it", "xx", "German", "pt_BR", "portuguese (brazil)"]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(names)], "k int, x string").select("k", languages.code_column(F.col("x")).alias("c")).collect()
+    assert [r.c for r in sorted(got)] == [c if (c := languages.code_of(x)) in languages.INDEX else None for x in names]
+
+
+def test_saved_tagger(spark, tagger, tmp_path):
+    languages.save(tagger, spark, f"{tmp_path}/m")
+    back = languages.load(spark, f"{tmp_path}/m")
+    text = [" ".join(ss) for ss in SENTENCES.values()]
+    for a, b in zip(languages.tag_texts(tagger, text), languages.tag_texts(back, text)):
+        assert np.allclose(a, b, atol=1e-4)
+
+
 def test_held_out_accuracy(tagger):
     right = 0
     for c, ss in SENTENCES.items():
@@ -344,7 +368,7 @@ def test_refusal_clauses():
     assert pairs.closed_clauses("Sorry, but 12 Foo things! Ask again.", "x") == ["sorry", "but # # things", "ask again"]
     assert pairs.closed_clauses("One. Two. Three.", "") is None and pairs.closed_clauses("One. Two. Three", "") is None
     assert pairs.closed_clauses("Vuhir is closed to me", "Where is Vuhir?") == ["# is closed to me"]
-    assert pairs.ends_of("First part, then. More of it. And so on, last part.", "") == ["first part", "last part"]
+    assert pairs.opening_of("— First part, then. More of it. And so on.", "") == "first part" and pairs.opening_of("…", "") == ""
 
 
 def test_refusals_by_cluster(spark):
@@ -421,6 +445,12 @@ def test_names_of_all_rows(spark):
     assert "qorwin" in got.given and {"bridge", "counted"} <= got.common and "zorael" not in got.given
 
 
+@pytest.mark.parametrize("name", ["Lena Zorfel Brandelm", "Hugo de la Zorven", "Ruth Zorfel-Brandelm", "Lena Zorfel"])
+def test_family_names_of_two_words(model, name):
+    t = f"My name is {name} and my mailbox is a.b@velm.test."
+    assert [t[s:e] for kind, s, e, _ in personal.spans(model, t) if kind == "name"] == [name]
+
+
 def test_places_in_the_original(model):
     text = "x​ Lena Zorfel​ is here"
     (kind, s, e, _) = personal.spans(model, text)[0]
