@@ -30,9 +30,14 @@ def space_pretokens(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(t, F.lit(f"{SPACE}[^{SPACE}]*"), F.lit(0)))
 
 
+#: What belongs to a word: alphabetic characters (circled letters too), marks, digits, connectors, joiners; and white space.
+WORD = r"\p{L}\p{M}\p{Nl}\p{Nd}\p{Pc}\x{200c}\x{200d}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+BLANK = r"\t-\r\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def word_pretokens(c: Column) -> Column:
     """Runs of word characters and runs of other visible ones."""
-    return F.regexp_extract_all(c, F.lit(rf"[\p{{L}}\p{{N}}_]+|(?:(?!{T.WS})[^\p{{L}}\p{{N}}_])+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"[{WORD}]+|[^{WORD}{BLANK}]+"), F.lit(0))
 
 
 def lossy_pretokens(c: Column) -> Column:

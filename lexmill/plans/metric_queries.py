@@ -102,9 +102,13 @@ def _(s, d):
     return metrics.gate(texts.select(F.col("text").alias("before"), back.alias("after")))
 
 
-@R.add("t1_word_pretokens", rf"SELECT doc_id, CAST(len(regexp_extract_all(text,'[\p{{L}}\p{{N}}_]+')) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL")
+PIECES = f"regexp_extract_all(text,'[{bpe.WORD}]+|[^{bpe.WORD}{bpe.BLANK}]+')"
+
+
+@R.add("t1_word_pretokens", f"SELECT doc_id, CAST(len({PIECES}) AS BIGINT) AS n, md5(array_to_string({PIECES},chr(1))) AS digest FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    return table(s, d, "documents").where("text is not null").select("doc_id", F.size(F.filter(bpe.word_pretokens(F.col("text")), lambda w: w.rlike(r"^[\p{L}\p{N}_]"))).cast("bigint").alias("n"))
+    p = table(s, d, "documents").where("text is not null").select("doc_id", bpe.word_pretokens(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").cast("bigint").alias("n"), F.md5(F.array_join("p", "\x01")).alias("digest"))
 
 
 @R.add("t1_lossy_pretokens")
@@ -127,16 +131,16 @@ def _(s, d):
     return got.select(F.col("left").alias("left_"), F.col("right").alias("right_"), "n")
 
 
-RANKS = ", p AS (SELECT n, string_split(word,'') AS c FROM counts), e AS (SELECT n, c, unnest(range(1,len(c))) AS i FROM p WHERE len(c)>1), pc AS (SELECT c[i] AS l, c[i+1] AS r, sum(n) AS n FROM e GROUP BY 1,2), ranks AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l COLLATE C, r COLLATE C)-1 AS rank FROM pc QUALIFY rank<2000)"
+RANKS = ", p AS (SELECT n, string_split(word,'') AS c FROM counts), e AS (SELECT n, c, unnest(range(1,len(c))) AS i FROM p WHERE len(c)>1), pc AS (SELECT c[i] AS l, c[i+1] AS r, sum(n) AS n FROM e GROUP BY 1,2), ranks AS (SELECT l, r, row_number() OVER (ORDER BY n DESC, l, r)-1 AS rank FROM pc QUALIFY rank<2000)"
 
 
-@R.add("jn5_srt6_best_merge", COUNTS + RANKS.replace(" COLLATE C", "") + ", w AS (SELECT word, string_split(word,'') AS c FROM counts WHERE length(word)>1), q AS (SELECT word, c, unnest(range(1,len(c))) AS at FROM w), j AS (SELECT word, at, rank FROM q JOIN ranks ON l=c[at] AND r=c[at+1]) SELECT word, CAST(arg_min(at, (rank, at)) AS BIGINT) AS at, CAST(min(rank) AS BIGINT) AS rank FROM j GROUP BY word")
+@R.add("jn5_srt6_best_merge", COUNTS + RANKS + ", w AS (SELECT word, string_split(word,'') AS c FROM counts WHERE length(word)>1), q AS (SELECT word, c, unnest(range(1,len(c))) AS place FROM w), j AS (SELECT word, place, rank FROM q JOIN ranks ON l=c[place] AND r=c[place+1]) SELECT word, CAST(arg_min(place, (rank, place)) AS BIGINT) AS place, CAST(min(rank) AS BIGINT) AS rank FROM j GROUP BY word")
 def _(s, d):
     # the most frequent pairs as a merge table, and each word's first merge by it
     counts = bpe.word_counts(table(s, d, "corpus"), table(s, d, "bpe_weights"))
     ranked = bpe.pair_counts(counts).select("left", "right", (F.row_number().over(Window.orderBy(F.desc("n"), "left", "right")) - 1).alias("rank"))  # as many rows as pairs of characters
     got = bpe.best_merges(counts, F.broadcast(ranked.where("rank < 2000")))
-    return got.select("word", F.col("at").cast("bigint").alias("at"), F.col("rank").cast("bigint").alias("rank"))
+    return got.select("word", F.col("at").cast("bigint").alias("place"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @R.add("set1_replication", "SELECT lang, CAST(sum(weight) AS BIGINT) AS copies FROM (SELECT lang, weight, unnest(range(weight)) AS k FROM bpe_weights WHERE weight IS NOT NULL) GROUP BY lang, weight")

@@ -40,6 +40,12 @@ def test_word_pretokens(spark):
     assert one(spark, "a-b c..d", bpe.word_pretokens) == ["a", "-", "b", "c", "..", "d"]
 
 
+@pytest.mark.parametrize("text", ["मेरा नाम தமிழ் x_y a-b c..d ½ तेलुगु", "Ⓐb ⅫⅢ क्‍ष ౧౨ é́ –　end", "ab  c", ""])
+def test_word_pretokens_equal_the_library(spark, text):
+    pre = pytest.importorskip("tokenizers").pre_tokenizers.Whitespace()
+    assert one(spark, text, bpe.word_pretokens) == [w for w, _ in pre.pre_tokenize_str(text)]
+
+
 def test_markdown_and_links(spark):
     assert one(spark, " a  \n\n\n\n\nb \n", T.markdown_normalise) == "a\n\n\nb\n"
     host = "w.example"
