@@ -248,13 +248,13 @@ def _(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", F.regexp_count("text", F.lit(r"\p{Nd}|[\p{L}\p{M}]+")).cast("bigint").alias("pieces"))
 
 
-WORDS5 = r"""WITH d AS (SELECT doc_id, {group} AS g, regexp_extract_all(lower(text),'[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+LINKED = r"""WITH RECURSIVE d AS (SELECT doc_id, {group} AS g, regexp_extract_all(lower(text),'[\p{{L}}\p{{M}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
 t AS (SELECT g, w, min(doc_id) AS o, count(*) AS copies FROM d WHERE len(w)>0 GROUP BY g, w),
 s AS (SELECT o, list_distinct(list_transform(range(1,greatest(len(w)-3,2)), lambda k: array_to_string(w[k:k+4],' '))) AS s, g FROM t),
 e AS (SELECT o, unnest(s) AS x, g FROM s), n AS (SELECT o, len(s) AS n FROM s),
 c AS (SELECT a.o AS a, b.o AS b, count(*) AS c FROM e a JOIN e b ON a.x=b.x AND a.g IS NOT DISTINCT FROM b.g AND a.o<b.o GROUP BY 1,2),
-l AS (SELECT a, b FROM c JOIN n na ON na.o=a JOIN n nb ON nb.o=b WHERE c>=0.8*(na.n+nb.n-c)),
-k AS (SELECT o, count(*) AS links FROM (SELECT a AS o FROM l UNION ALL SELECT b FROM l) GROUP BY o)
+l AS (SELECT a, b FROM c JOIN n na ON na.o=a JOIN n nb ON nb.o=b WHERE c>=0.8*(na.n+nb.n-c))"""
+WORDS5 = LINKED + """, k AS (SELECT o, count(*) AS links FROM (SELECT a AS o FROM l UNION ALL SELECT b FROM l) GROUP BY o)
 SELECT doc_id, coalesce(links,0) AS links, copies FROM d JOIN t ON t.w=d.w AND t.g IS NOT DISTINCT FROM d.g LEFT JOIN k USING (o)"""
 
 
@@ -263,7 +263,8 @@ def _(s, d):
     return similar.near_duplicates(table(s, d, "documents")).select("doc_id", "links", "copies")
 
 
-@R.add("x3_classes")
+@R.add("x3_classes", LINKED.format(group="CAST(NULL AS VARCHAR)") + """, b AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(o, c) AS (SELECT o, o FROM t UNION SELECT r.o, b.b FROM r JOIN b ON b.a=r.c), k AS (SELECT o, min(c) AS class_id FROM r GROUP BY o)
+SELECT doc_id, class_id FROM d JOIN t ON t.w=d.w AND t.g IS NOT DISTINCT FROM d.g JOIN k USING (o)""")
 def _(s, d):
     return similar.near_duplicates(table(s, d, "documents")).select("doc_id", "class_id")
 
