@@ -33,6 +33,8 @@ NOTHING = {"", "und", "xx", "n/a", "na", "unknown", "none", "null", "mul", "zxx"
 #: Rows of each language, at most about, that training sees; and sentences of each.
 SAMPLE_ROWS, SAMPLE_SENTENCES = 500, 1500
 MIN_WORDS = 3
+#: A sentence of fewer words counts if its confidence is above this: one or two names tell no language.
+SURE_SHORT = 0.97
 #: A sentence of less confidence counts only where its text has no better one.
 SURE = 0.6
 
@@ -422,6 +424,11 @@ def _batches(tagger, batches, slice_rows: int = 1000):
             yield part, tag_texts(tagger.value, part.column(1).to_pylist())
 
 
+def counting(n: np.ndarray, conf: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which sentences count: whole ones, short ones only if they are sure."""
+    return whole & ((n >= MIN_WORDS) | (conf > SURE_SHORT))
+
+
 def segments(df: DataFrame, tagger: Tagger, id_col: str = "ord", text_col: str = "text") -> DataFrame:
     """(id, segment, lang, confidence, words): stretches of whole sentences in one language, in order.
 
@@ -431,7 +438,7 @@ def segments(df: DataFrame, tagger: Tagger, id_col: str = "ord", text_col: str =
 
     def run(batches):
         for part, (doc, n, lang, conf, whole) in _batches(shared, batches):
-            ok = whole & (n >= MIN_WORDS)
+            ok = counting(n, conf, whole)
             doc, n, lang, conf = doc[ok], n[ok], lang[ok], conf[ok]
             if not len(doc):
                 continue
@@ -465,7 +472,7 @@ def found(df: DataFrame, tagger: Tagger | None = None, id_col: str = "ord", text
 
     def run(batches):
         for part, (doc, n, lang, conf, whole) in _batches(shared, batches):
-            ok = whole & (n >= MIN_WORDS)
+            ok = counting(n, conf, whole)
             best = np.zeros(part.num_rows, conf.dtype)
             np.maximum.at(best, doc[ok], conf[ok])
             ok &= (conf > SURE) | (conf == best[doc])

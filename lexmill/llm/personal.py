@@ -32,10 +32,12 @@ Pierre Marie Jean Camille Louis Sophie Claire Julien Nicolas Hans Karl Ingrid Kl
 W = r"[^\W\d_](?:[^\W_]|['’\-](?=[^\W\d_])|[ऀ-ॣ०-ൿ̀-ͯ])*"
 #: The same words, for counting: runs are not tried again.
 W_FAST = re.compile(r"[^\W\d_](?:[^\W_]++|['’\-](?=[^\W\d_])|[ऀ-ॣ०-ൿ̀-ͯ]++)*+")
-FAMILY = re.compile(rf"(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
-TWO = re.compile(rf"[\s\"':=]*({W})(?:\s{{1,3}}[^\W\d_]\.)?\s{{1,3}}({W})")
+#: Particles before a family name.
+OF = r"(?:[ \t](?:de|da|do|dos|das|del|la|di|van|von|der|den)(?=[ \t])){0,3}"
+FAMILY = re.compile(rf"(?:\s{{1,3}}[^\W\d_]\.)?{OF}\s{{1,3}}({W})")
+TWO = re.compile(rf"[\s\"':=]*({W})(?:\s{{1,3}}[^\W\d_]\.)?{OF}\s{{1,3}}({W})")
 #: A second family name, also after a particle; not a field's label.
-MORE_FAMILY = re.compile(rf"[ \t](?:(?:de|da|do|dos|das|del|la|van|von|der|den|e|y)[ \t]){{0,2}}({W})(?![\w:=@])")
+MORE_FAMILY = re.compile(rf"{OF}[ \t]({W})(?![\w:=@])")
 BEFORE_NAME = ("my name is", "name=", "name:", "applicant:", "dr.", "mr.", "mrs.", "ms.", "prof.", "\"contact\":", "attention", "ask for", "you can reach", "it was", "me llamo", "ich heiße", "je m'appelle", "je m’appelle", "меня зовут", "заявитель:", "solicitante:", "antragsteller:", "demandeur :", "demandeur:", "मेरा नाम", "आवेदक:", "herr", "frau", "signed by", "meu nome é", "requerente:")
 AFTER_NAME = re.compile(r"\s*(?:signed|\(\(?\+?\d|\|\s*\+?\(?\d|\"?,? *\"tel\"|और मेरा|है|का पता|से .{0,24}बात|and my|und wohne|y vivo|mon adresse|, mon adresse|, мой адрес|; |addr=|, documento|, ausweis|, num|, номер|, आधार|, पैन|, पहचान|, पासपोर्ट)", re.I)
 #: What follows a name in scripts without letter case, where no capital shows one: beginnings, and the whole context.

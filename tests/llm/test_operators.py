@@ -268,6 +268,8 @@ def test_found_languages(spark, tagger):
     ]
     got = found(languages.found(transcripts(spark, rows), tagger))
     assert got == [(1, "en"), (2, "de"), (4, "en"), (4, "ru"), (10, "de")]
+    short = [(chat(s["en"][0], f"{s['en'][1]}\n\nЧитатель хранит."), "en"), (chat(s["en"][0], f"{s['en'][1]} Zorfel Bran."), "en")]
+    assert found(languages.found(transcripts(spark, short), tagger)) == [(0, "en"), (0, "ru")]
     docs = {r.ord: r for r in languages.documents(transcripts(spark, rows), tagger).collect()}
     assert docs[5].lang is None and docs[5].langs == [] and docs[4].langs == ["en", "ru"] and docs[0].confidence > 0.9
     seg = found(languages.segments(transcripts(spark, rows), tagger).where("ord = 4").select("segment", "lang"))
