@@ -50,8 +50,27 @@ def _grams_sql(key: str, name: str, n: int) -> str:
  FROM (SELECT {key}, regexp_extract_all(lower(text),'{WORD}') AS w FROM {name} WHERE text IS NOT NULL) WHERE len(w)>={n}))"""
 
 
+def _format_sql() -> str:
+    """Copies by canonical turns and fields; the engine's upper knows no letters that become two, so the sharp s does."""
+    d = format_duplicates
+    between = d.BETWEEN.replace(r"\s", r"\t-\r ")
+    form = lambda c: f"trim(lower(regexp_replace(upper(replace({c},'ß','ss')),'{between}',' ','g')))"
+    line = f"^{d.LINE}$"
+    return rf"""WITH b AS (SELECT ord, translate(text,'{d.KEPT}','{d.FOR}') AS text FROM transcripts WHERE regexp_matches(text,'\S')),
+t AS (SELECT ord, generate_subscripts(p,1) AS turn, unnest(p) AS t FROM (SELECT ord, list_filter(string_split(text,'<|im_start|>'), lambda x: regexp_matches(x,'\S')) AS p FROM b)),
+r AS (SELECT ord, turn, t, regexp_extract(t,'^\s*(\w+)[ \t\r]*\n',1) AS role FROM t),
+i AS (SELECT ord, turn, lower(role) AS role, contains(t,'<|im_end|>') AS ended, replace(CASE WHEN role<>'' THEN regexp_replace(t,'^\s*\w+[ \t\r]*\n','') ELSE t END,'<|im_end|>',' ') AS x FROM r),
+k AS (SELECT *, regexp_matches(x,'^\s*\{{') AND regexp_matches(regexp_replace(x,'{d.PAIR}','','g'),'^[^\p{{L}}\p{{N}}\[\]]*$') AS json, list_filter(string_split(x,chr(10)), lambda l: regexp_matches(l,'[\p{{L}}\p{{N}}]')) AS ls FROM i),
+m AS (SELECT *, contains(x,':') AND NOT starts_with(x,'<think>') AND len(ls)>1 AND len(list_filter(ls, lambda l: NOT regexp_matches(l,'{line}')))=0 AS keyed FROM k),
+v AS (SELECT ord, turn, role, ended, CASE WHEN json THEN list_sort(list_transform(list_zip(regexp_extract_all(x,'{d.PAIR}',1),regexp_extract_all(x,'{d.PAIR}',2)), lambda z: {form('z[1]')}||chr(1)||{form('z[2]')}))
+ WHEN keyed THEN list_sort(list_transform(ls, lambda l: {form(f"regexp_extract(l,'{line}',1)")}||chr(1)||{form(f"regexp_extract(l,'{line}',2)")})) ELSE [{form('x')}] END AS vals FROM m),
+g AS (SELECT ord, CAST(list((role, ended, vals) ORDER BY turn) AS VARCHAR) AS k FROM v GROUP BY ord)
+SELECT f AS ord_first, ord AS ord_copy FROM (SELECT ord, min(ord) OVER (PARTITION BY k) AS f FROM g) WHERE ord<>f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Problems that SQL can express; the others are tested against brute force in tests/llm."""
     return {
         "p4_found": f"SELECT DISTINCT item_id, ord FROM {_grams_sql('item_id', 'eval_items', leaks.SPAN)} JOIN {_grams_sql('ord', 'transcripts', leaks.SPAN)} USING (s)",
+        "p6_found": _format_sql(),
     }
