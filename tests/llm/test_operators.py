@@ -361,6 +361,8 @@ def test_refusals_in_unseen_words(spark, tagger):
     rows += [chat(q, f"{en[k % 4]} {en[(k + 1) % 4]} {en[(k + 2) % 4]}") for k, q in enumerate(PROMPTS * 4)]
     # recurs under prompts that begin alike, or under one prompt in several forms: none
     rows += [chat(f"Answer with one word only, please: {q}", "Certainly") for q in PROMPTS]
+    # so is one word, whatever the prompts
+    rows += [chat(q, "Yes.") for q in PROMPTS] + [chat(q, "可以。") for q in PROMPTS]
     rows += [chat(q, "The mill stands on the left bank. It was built in spring.") for q in ("Where is the mill of Bohoul?", "where is the MILL of Bohoul", "Of Bohoul, where is the mill?", "Is the mill of Bohoul where?", "the mill of Bohoul is where?")]
     got = found(pairs.check(transcripts(spark, rows), tagger).where("defect = 'refusal'"))
     assert got == [(k, 1, "refusal") for k in range(12)]
