@@ -258,8 +258,10 @@ def _verified(batches):
 def doc_tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, token) of each distinct token with a character beyond ASCII."""
     d = id_and_text(df, id_col, text_col).where(F.col("_text").rlike(r"[^\x00-\x7f]"))
-    tokens = F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))
-    runs = F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
+    # every run of such characters stands in a token: the other patterns look at the distinct tokens alone
+    d = d.select("_id", F.array_distinct(F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))).alias("_tokens"))
+    d = d.select("_id", "_tokens", F.array_join("_tokens", "\n").alias("_text"))
+    tokens, runs = F.col("_tokens"), F.regexp_extract_all("_text", F.lit(RUN), F.lit(0))
     han = F.regexp_extract_all("_text", F.lit(r"[\x{3000}-\x{303f}\x{3400}-\x{9fff}\x{ff00}-\x{ff5e}]"), F.lit(0))
     # other readings of Chinese bytes: runs in which letters and symbols alternate
     mixed = F.filter(runs, lambda x: (F.length(x) > 5) & x.rlike(ODD_RUN))
@@ -272,8 +274,9 @@ def matches(tokens: DataFrame) -> DataFrame:
     word, the most frequent one. level 2: the word alone shows it, 1: so does its frequency or chain, 0: another word of
     the document must show the chain; such a token comes with each of its chains."""
     vocabulary = materialise(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("h", F.xxhash64("token")), "p9")
-    # the words' work is even, however few files hold them
-    spread = vocabulary.select("token", "df").repartition("token")
+    # the words' work is even, however few files hold them; a stated number is not merged again for being small in bytes
+    spark = tokens.sparkSession
+    spread = vocabulary.select("token", "df").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "token")
     forms = arrow_map(spread, _forms, "hg long, chain int, w_df long, hw long, w_len int")
     joined = forms.join(vocabulary.select("token", "df", F.col("h").alias("hg")), "hg")
     # a chain that keeps to one byte a letter may turn one word into another: the rarer is the garbled one
