@@ -372,6 +372,9 @@ def test_refusal_clauses():
     assert pairs.closed_clauses("Sorry, but 12 Foo things! Ask again.", "x") == ["sorry", "but # # things", "ask again"]
     assert pairs.closed_clauses("One. Two. Three.", "") is None and pairs.closed_clauses("One. Two. Three", "") is None
     assert pairs.closed_clauses("Vuhir is closed to me", "Where is Vuhir?") == ["# is closed to me"]
+    assert pairs.masked("THE OLD MILL IS 3 MILES OFF") == "the old mill is # miles off" and pairs.masked("ask Peter Zorfel at noon", "") == "ask # # at noon"
+    assert pairs.whole_of("THE OLD  MILL.") == pairs.whole_of("the old mill.") and pairs.whole_of("Vuhir is far, and 3 days off") == pairs.whole_of("Sihen is far, and 12 days off")
+    assert pairs.one_word(["yes"]) and pairs.one_word(["可以"]) and not pairs.one_word(["对不起", "不行"]) and not pairs.one_word(["ask again"])
     assert pairs.opening_of("— First part, then. More of it. And so on.", "") == "first part" and pairs.opening_of("…", "") == ""
 
 
