@@ -246,9 +246,26 @@ def _(s, d):
     return numeric.covariance(table(s, d, "embeddings")).select("i", "j", (F.round("cov", 4) + 0.0).alias("cov"))
 
 
-@R.add("n9_principal_two")
-def _(s, d):
-    return numeric.principal_two(table(s, d, "embeddings"), "vec_id")
+#: Power iteration on the covariances as a list of rows; the second direction without the first one's part.
+PRINCIPAL = """WITH RECURSIVE x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+l AS (SELECT vec_id, unnest(range(len(e))) AS i, unnest(e) AS x FROM x),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.x,b.x) AS c FROM l a JOIN l b USING (vec_id) GROUP BY 1,2),
+m AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)),
+mean AS (SELECT list(a ORDER BY i) AS mean FROM (SELECT i, avg(x) AS a FROM l GROUP BY i)),
+p(k, v) AS (SELECT 0, list_transform(range(len(m)), lambda t: CASE WHEN t=0 THEN 1.0::DOUBLE ELSE 0.13::DOUBLE END) FROM m
+ UNION ALL SELECT k+1, list_transform(w, lambda t: t/sqrt(list_dot_product(w,w))) FROM (SELECT k, list_transform(m, lambda r: list_dot_product(r,v)) AS w FROM p, m WHERE k<80)),
+one AS (SELECT v AS v1, list_dot_product(list_transform(m, lambda r: list_dot_product(r,v)),v) AS top FROM p, m WHERE k=80),
+q(k, v) AS (SELECT 0, list_transform(range(len(m)), lambda t: CASE WHEN t=1 THEN 1.0::DOUBLE ELSE -0.07::DOUBLE END) FROM m
+ UNION ALL SELECT k+1, list_transform(y, lambda t: t/sqrt(list_dot_product(y,y))) FROM (SELECT k, list_transform(list_zip(w,v1), lambda t: t[1]-d*t[2]) AS y FROM (SELECT k, v1, w, list_dot_product(w,v1) AS d FROM
+ (SELECT k, v1, list_transform(list_zip(list_transform(m, lambda r: list_dot_product(r,v)),v1), lambda t: t[1]-g*t[2]) AS w FROM (SELECT k, v, m, v1, top*list_dot_product(v1,v) AS g FROM q, m, one WHERE k<80))))),
+two AS (SELECT v AS v2 FROM q WHERE k=80)
+SELECT vec_id, round(list_dot_product(z,v1),3)+0.0 AS pc1, round(list_dot_product(z,v2),3)+0.0 AS pc2 FROM (SELECT vec_id, list_transform(list_zip(e,mean), lambda t: t[1]-t[2]) AS z FROM x, mean), one, two"""
+
+
+@R.add("n9_principal_two", PRINCIPAL)
+def _(s, d):
+    got = numeric.principal_two(table(s, d, "embeddings").where("embedding is not null"), "vec_id")
+    return got.select("vec_id", (F.round("pc1", 3) + 0.0).alias("pc1"), (F.round("pc2", 3) + 0.0).alias("pc2"))
 
 
 @R.add("arr6_softmax", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)-list_max(embedding))))/list_sum(list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE)-list_max(embedding)))),6) AS top FROM embeddings")

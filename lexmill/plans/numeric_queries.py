@@ -31,10 +31,14 @@ def _(s, d):
     return numeric.lcg(s, 500, 11).select("i", F.floor(F.col("u") * 7).cast("bigint").alias("k"))
 
 
-@R.add("n4_layers")
+#: Normal m, from 0, of the stream's pairs of uniforms.
+NORMALS = ", u AS (SELECT (i-1)//2 AS k, max(CASE WHEN i%2=1 THEN state END)/4294967296.0 AS a, max(CASE WHEN i%2=0 THEN state END)/4294967296.0 AS b FROM lcg WHERE i>0 GROUP BY 1), z AS (SELECT k*2+j AS m, sqrt(-2*ln(greatest(a,1e-12)))*CASE WHEN j=0 THEN cos(2*pi()*b) ELSE sin(2*pi()*b) END AS z FROM u, range(2) r(j))"
+
+
+@R.add("n4_layers", stream_sql(18, 5) + NORMALS + " SELECT CAST(m//4 AS INT) AS layer, CAST(CASE WHEN m<16 THEN m%4//2 ELSE m-16 END AS INT) AS i, CAST(CASE WHEN m<16 THEN m%2 ELSE 0 END AS INT) AS j, round(CASE WHEN m>=16 THEN 0.16*z WHEN m%4//2=m%2 THEN 1+0.02*z ELSE 0.02*z END,6) AS w FROM z")
 def _(s, d):
     layers = numeric.new_layers([2, 2, 2, 2, 2, 1], numeric.Stream(5), 0.16, 0.16, True)
-    return s.createDataFrame([(k, i, j, float(w[i, j])) for k, (w, _) in enumerate(layers) for i in range(w.shape[0]) for j in range(w.shape[1])], "layer int, i int, j int, w double")
+    return s.createDataFrame([(k, i, j, round(float(w[i, j]), 6)) for k, (w, _) in enumerate(layers) for i in range(w.shape[0]) for j in range(w.shape[1])], "layer int, i int, j int, w double")
 
 
 def shuffle_sql(n: int, skip: int) -> str:
