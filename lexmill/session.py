@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -40,21 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_WRITTEN: dict[str, SparkSession] = {}
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new path for a step's table."""
+    return f"{shared_dir(spark)}/lexmill-{os.getpid()}/{name}-{uuid.uuid4().hex}"
 
 
-def step_path(spark: SparkSession, name: str) -> str:
-    """A new path for a step's table, deleted when the program ends."""
-    path = f"{shared_dir(spark)}/lexmill-{os.getpid()}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
-    return path
+def _folder(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def until_end(spark: SparkSession, *paths: str) -> None:
+    """Has the driver delete these folders when it ends."""
+    for path in paths:
+        p, files = _folder(spark, path)
+        files.deleteOnExit(p)
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes df once to the shared folder and reads it back, so what follows neither repeats the work
-    nor depends on an executor that may be lost."""
+    nor depends on an executor that may be lost. The table is there until it is released or the driver ends."""
     path = step_path(df.sparkSession, name)
     df.write.parquet(path)
+    until_end(df.sparkSession, path)
     got = df.sparkSession.read.schema(df.schema).parquet(path)
     got._step = path
     return got
@@ -62,23 +69,9 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Deletes the table behind a materialised df that nothing reads any more."""
-    path = getattr(df, "_step", None)
-    if path in _WRITTEN:
-        _delete(path, _WRITTEN.pop(path))
-
-
-def _delete(path: str, spark: SparkSession) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_WRITTEN.items()):
-        try:
-            _delete(path, spark)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
+    if path := getattr(df, "_step", None):
+        p, files = _folder(df.sparkSession, path)
+        files.delete(p, True)
 
 
 def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -87,8 +80,8 @@ def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
     df = spark.read.parquet(path)
     if len(df._jdf.inputFiles()) > 1:  # counted in the JVM: a large table has many
         return df
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    p, files = _folder(spark, path)
+    size = files.getContentSummary(p).getLength()
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(spark.sparkContext.defaultParallelism, key) if 1 << 20 < size < split else df
 

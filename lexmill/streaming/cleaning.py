@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import clean
-from lexmill.session import step_path
+from lexmill.session import step_path, until_end
 
 
 def source(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -36,9 +36,10 @@ def hourly(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -
 
 def append_once(stream: DataFrame, name: str) -> DataFrame:
     """Everything that is there now, through the stream, into a table of the shared folder."""
-    out = step_path(stream.sparkSession, name)
-    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", step_path(stream.sparkSession, f"{name}-state")).trigger(availableNow=True).start(out)
+    out, state = (step_path(stream.sparkSession, n) for n in (name, f"{name}-state"))
+    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     q.awaitTermination()
+    until_end(stream.sparkSession, out, state)
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -46,10 +47,11 @@ def upsert_once(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Everything that is there now, through an aggregating stream: each batch appends the groups it changed, and the
     last word on a group counts. Unlike in append mode, groups whose window the watermark has not closed are there. A
     batch that is run again replaces its own part."""
-    out = step_path(stream.sparkSession, name)
+    out, state = (step_path(stream.sparkSession, n) for n in (name, f"{name}-state"))
     put = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", step_path(stream.sparkSession, f"{name}-state")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
+    until_end(stream.sparkSession, out, state)
     rest = [c for c in stream.columns if c not in keys]
     got = stream.sparkSession.read.schema(stream.schema.add("batch", "long")).option("basePath", out).parquet(out)
     return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, "_last.*")

@@ -65,7 +65,8 @@ def test_tables_shared_by_all_executors(spark):
     step = session.materialise(spark.range(5))
     assert step.count() == 5
     session.release(step)
-    assert step._step not in session._WRITTEN
+    p, files = session._folder(spark, step._step)
+    assert not files.exists(p)
 
 
 def test_streams_of_several_batches(spark, tmp_path):
