@@ -75,7 +75,7 @@ def normalise(c: Column) -> Column:
 
 
 def ascii_ratio(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\x00-\x7F]", "")) / F.greatest(F.length(c), F.lit(1))
+    return F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")) / F.greatest(F.length(c), F.lit(1))
 
 
 def occurrences(c: Column, marker: str) -> Column:
@@ -111,7 +111,8 @@ def strip(c: Column) -> Column:
 
 
 def emails(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))
+    """Addresses in order; texts without the sign, i.e. most, are not searched."""
+    return F.when(c.contains("@"), F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0))).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def phones(c: Column) -> Column:
