@@ -404,6 +404,62 @@ def test_cluster_recall_against_brute_force(spark):
     assert len(want) > 50 and together >= 0.9 * len(want)
 
 
+def brute_clusters(texts):
+    """The smallest member of each text's class, by every pair."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+
+    def root(a):
+        while label[a] != a:
+            a = label[a]
+        return a
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                label[max(x, y)] = min(x, y)
+    return {a: root(a) for a in range(len(texts))}
+
+
+def test_no_link_at_the_threshold_is_missed(spark):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(700):  # pairs of four shingles in five
+        base = [word() for _ in range(8)]
+        texts += [" ".join(base), " ".join([*base, word()])]
+    texts += ["na na na na na", "na na na na na na", "ha he ha he ha he", "he ha he ha he ha", "so so so so", "so so so"]
+    got = {r.o: r.cluster for r in pairs.clusters(spark.createDataFrame(list(enumerate(texts)), "o long, opening string")).collect()}
+    assert got == {k: k - k % 2 for k in range(1404)} | {1404: 1404, 1405: 1405}
+
+
+def test_clusters_of_common_words_against_brute_force(spark):
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join([*common[k : k + 10], *(["x"] if k % 2 else []), f"t{rng.randrange(30)}"]) for k in range(50) for _ in range(6)]  # a chain through common words
+    texts += [" ".join([*common[:12], *(f"d{rng.randrange(25)}" for _ in range(3))]) for _ in range(400)]  # more members than SMALL share their rarest runs
+    texts += [" ".join([*common[:n], f"e{rng.randrange(6)}"]) for n in range(5, 40) for _ in range(8)]
+    texts = sorted(set(texts))
+    rng.shuffle(texts)
+    got = {r.o: r.cluster for r in pairs.clusters(spark.createDataFrame(list(enumerate(texts)), "o long, opening string")).collect()}
+    want = brute_clusters(texts)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_templates_count_what_is_alike_in_longer_answers(spark, tagger):
+    en = SENTENCES["en"]
+    prompts = [f"{q} {a} {b}" for q in PROMPTS for a in ("mill", "bridge", "garden", "ledger") for b in ("noon", "dusk")]
+    one, two = "That sort of matter lies well outside my remit today", "That sort of matter lies well outside my remit today then"
+    three, four = "Crates of this size are kept in the lower mill", "Crates of this size are kept in the lower mill now"
+    rows = [chat(q, one + ".") for q in prompts[:30]]
+    # one answer in four that begins so is longer, but of both clauses only one in thirty-four
+    rows += [chat(q, two + ".") for q in prompts[30:33]] + [chat(prompts[33], f"{two}. {en[0]} {en[1]}")]
+    # met in short answers alone, but what is alike begins longer ones
+    rows += [chat(q, f"{three}. They {w}.") for q, w in zip(prompts[4:14], "wait rest dry age lie stay stand hold keep last".split())] + [chat(q, f"{four}. {en[k % 4]} {en[(k + 1) % 4]}") for k, q in enumerate(prompts[10:20])]
+    assert found(pairs.check(transcripts(spark, rows), tagger).where("defect = 'refusal'")) == [(k, 1, "refusal") for k in range(33)]
+
+
 # ---------------------------------------------------------------- 5: personal information
 
 
